@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import mixing, preference, sharding, urlfilter
+from tabulon.llm import fingerprint, mixing, packing, preference, secrets, sharding, urlfilter
 from tabulon.llm.common import table
 
 #: Target weights of the sources in the test tables; any other source shares the last.
@@ -16,6 +16,11 @@ SOURCE_WEIGHTS = {f"src{i}": float(i % 4 + 1) for i in range(20)} | {mixing.OTHE
 LISTED_SITES = r"(^|\.)(ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)\."
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document, its edited text and the likeness to that and to the next one."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hierarchical weighted hash tree over shards 0 to 39 (law ``key``)."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
@@ -31,6 +36,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base kinds, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    return found.select("doc_id", *[secrets.count(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for every page's url; the list holds the canonical URLs of the listed sites' pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -39,8 +51,16 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed_hit")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of every document's tokens, a sequence each."""
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sharding, op6_preference, op7_mixing, op9_urlfilter)}
+    return {f.__name__: f for f in (op4_fingerprint, op5_sharding, op6_preference, op7_mixing, op8_secrets, op9_urlfilter, op10_packing)}
 
 
 _OP6_SQL = """
