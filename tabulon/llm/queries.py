@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import fingerprint, mixing, packing, preference, secrets, sharding, urlfilter
+from tabulon.llm import fingerprint, mixing, packing, preference, quality, secrets, sharding, urlfilter
 from tabulon.llm.common import table
 
 #: Target weights of the sources in the test tables; any other source shares the last.
@@ -16,6 +16,12 @@ SOURCE_WEIGHTS = {f"src{i}": float(i % 4 + 1) for i in range(20)} | {mixing.OTHE
 LISTED_SITES = r"(^|\.)(ads-track|casino-win|spam-farm|adult-x|cheap-pills|free-bets)\."
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the model trained on the labelled ones."""
+    judged = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_quality")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document, its edited text and the likeness to that and to the next one."""
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
@@ -60,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_fingerprint, op5_sharding, op6_preference, op7_mixing, op8_secrets, op9_urlfilter, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op4_fingerprint, op5_sharding, op6_preference, op7_mixing, op8_secrets, op9_urlfilter, op10_packing)}
 
 
 _OP6_SQL = """
