@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import fingerprint, mixing, packing, preference, quality, secrets, sharding, substrings, urlfilter
+from tabulon.llm import fingerprint, mixing, neardup, packing, preference, quality, secrets, sharding, substrings, urlfilter
 from tabulon.llm.common import table
 
 #: Target weights of the sources in the test tables; any other source shares the last.
@@ -22,6 +22,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_quality")
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near copies (five-word shingles, weighted Jaccard 0.8)."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that start in an earlier one."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_substrings, op4_fingerprint, op5_sharding, op6_preference, op7_mixing, op8_secrets, op9_urlfilter, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_neardup, op3_substrings, op4_fingerprint, op5_sharding, op6_preference, op7_mixing, op8_secrets, op9_urlfilter, op10_packing)}
 
 
 _OP6_SQL = """
