@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +21,9 @@ from tabulon.llm.common import shuffle_width
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Entries kept of each of a worker's two caches; a fuller one is emptied.
-CACHE_CHUNKS, CACHE_WORDS = 400_000, 500_000
+#: Entries of a generation of each of a worker's two caches; a full one becomes the old generation, from
+#: which what is still asked for moves back.
+CACHE_CHUNKS, CACHE_WORDS = 300_000, 500_000
 #: Characters tokenized at a time.
 GROUP_CHARS = 2_000_000
 
@@ -29,6 +32,11 @@ GROUP_CHARS = 2_000_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+#: The printable code point that stands for each byte: itself, or the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
+
+
 class WordEncoder:
     """Token ids of texts by a tokenizer that drops white space, through caches of its words.
 
@@ -43,24 +51,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks, self.old_words = self.chunks, self.words
 
     def _learn(self, need: set[str]) -> None:
+        chunks, old = self.chunks, self.old_chunks
+        back = {w for w in need if w in old} if old is not chunks else set()
+        for w in back:
+            chunks[w] = old[w]
+        parts = {w: (m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (w, None) for w in need.difference(back)}
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        parts = {w: (m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(w)) else (w, "") for w in need}
-        new = list({p for pair in parts.values() for p in pair} - self.words.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        words = self.words
-        self.chunks.update((w, words[a] + words[b]) for w, (a, b) in parts.items())
+            self.old_words, self.words = self.words, {}
+        words, old = self.words, self.old_words
+        whole = {a for a, b in parts.values() if b is None}
+        asked = {a for a, _ in parts.values()}
+        asked.update(b for _, b in parts.values() if b)
+        asked = {w for w in asked if w not in words}
+        for w in asked:
+            if w in old:
+                words[w] = old[w]
+        tokenize, tokenizer = self.tokenizer.model.tokenize, self.tokenizer
+        for w in asked:
+            if w in words:
+                continue
+            if w in whole:  # not simple: by all steps of the tokenizer
+                ids = array("I", tokenizer.encode(w, add_special_tokens=False).ids)
+            else:  # what the steps before the model make of a simple word
+                ids = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTE_LEVEL))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            words[w] = ids.tobytes()
+        for w, (a, b) in parts.items():
+            chunks[w] = words[a] + words[b] if b else words[a]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+            self.old_chunks, self.chunks = self.chunks, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*split) - self.chunks.keys()
+        known = self.chunks
+        need = {w for w in set().union(*split) if w not in known}
         if need:
             self._learn(need)
         get = self.chunks.__getitem__

@@ -143,3 +143,12 @@ def test_edits_are_located():
     assert a0 <= at < a1 and a1 - a0 < 200 and text[:a0] == new[:b0] and text[a1:] == new[b1:]
     assert fp.locate_edits(fp.fingerprint(text), fp.fingerprint(text)) == []
     assert fp.fingerprint(None) == fp.fingerprint("") != fp.fingerprint("\n")
+
+
+def test_word_encoder_over_generations(docs, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 200)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 150)
+    tok, enc = Tokenizer.from_file(PATH), packing.WordEncoder(open(PATH).read())
+    texts = [r["text"] for r in docs.collect()]
+    for t in texts[:120]:
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
