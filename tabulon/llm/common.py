@@ -17,13 +17,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset."""
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (conf or "/tmp/tabulon-checkpoints").rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoint to the shared folder the session names; only when unset (tests) pick a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(conf or "/tmp/tabulon-checkpoints")
+    """Has checkpoint() write to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
 
 
 def md5_unit(*parts: Column) -> Column:

@@ -29,7 +29,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float], total: float | None
     counts = docs.groupBy(_stratum(weights).alias("stratum")).agg(F.count(F.lit(1)).alias("n_rows"))
     known = counts.withColumn("weight", F.coalesce(pairs[F.col("stratum")], F.lit(0.0)))
     sums = known.agg(F.sum("weight").alias("w"), F.sum("n_rows").alias("n"))
-    rates = known.crossJoin(F.broadcast(sums)).withColumn("rate", (F.lit(total) if total is not None else F.col("n")) * F.col("weight") / F.col("w") / F.col("n_rows"))
+    rates = known.crossJoin(F.broadcast(sums)).withColumn("rate", (F.lit(total) if total is not None else F.col("n")) * F.try_divide(F.col("weight"), F.col("w")) / F.col("n_rows"))
     rates = rates.withColumn("rate", F.coalesce("rate", F.lit(0.0))).withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     top = F.ceil(mean + F.sqrt(mean) * 12 + 24).cast("int")
