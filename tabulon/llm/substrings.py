@@ -12,7 +12,7 @@ anchor, which follows from the window alone, so equal windows meet under equal a
 4. occurrences in later documents are the removed spans, joined to the texts again.
 
 Equal texts are handled once (told apart by a 64-bit hash), and a task tells another about an anchor or a
-piece once for each batch of 16 MB, so no anchor, passage or group of copies, however common, gathers in one
+piece once for each batch of 8 MB, so no anchor, passage or group of copies, however common, gathers in one
 task with a row for each document.
 """
 
@@ -30,7 +30,9 @@ from tabulon.llm.common import shuffle_width
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window, and windows in a piece at most
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Suffix arrays that a task builds, one after the other.
+ARRAYS_PER_TASK = 8
 _STRETCH = 1 << 18  # windows hashed at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -348,36 +350,55 @@ def repeat_groups(common: np.ndarray, left: np.ndarray, least: int = LENGTH) ->
     return length[diverse], lo[diverse], hi[diverse]
 
 
-def _gather(batches: Iterator[pa.RecordBatch], passed: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different pieces, and of each occurrence its piece, k, th and start; other rows go to ``passed``."""
-    index: dict[bytes, int] = {}
-    ids, ks, ths, starts = [], [], [], []
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[bytes]]]:
+    """Rows sorted by bucket -> (rows with a th, which pass by; the piece data of one bucket)."""
+    current, held = None, []
     for b in batches:
+        passed = []
         for bucket, th, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if th is not None:
                 passed.append((bucket, th, data))
                 continue
-            n = int(np.frombuffer(data, "<u4", 1)[0])
-            ends = np.cumsum(np.frombuffer(data, np.uint8, n, 4), dtype=np.int64) + 4 + 25 * n
-            ks.append(np.frombuffer(data, "<i8", n, 4 + n))
-            ths.append(np.frombuffer(data, "<i8", n, 4 + 9 * n))
-            starts.append(np.frombuffer(data, "<i8", n, 4 + 17 * n))
-            at = 4 + 25 * n
-            for e in ends.tolist():
-                ids.append(index.setdefault(data[at:e], len(index)))
-                at = e
+            if bucket != current and held:
+                yield [], held
+                held = []
+            current = bucket
+            held.append(data)
+        if passed:
+            yield passed, []
+    if held:
+        yield [], held
+
+
+def _gather(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pieces, and of each occurrence its piece, k, th and start."""
+    index: dict[bytes, int] = {}
+    ids, ks, ths, starts = [], [], [], []
+    for data in blobs:
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        ends = np.cumsum(np.frombuffer(data, np.uint8, n, 4), dtype=np.int64) + 4 + 25 * n
+        ks.append(np.frombuffer(data, "<i8", n, 4 + n))
+        ths.append(np.frombuffer(data, "<i8", n, 4 + 9 * n))
+        starts.append(np.frombuffer(data, "<i8", n, 4 + 17 * n))
+        at = 4 + 25 * n
+        for e in ends.tolist():
+            ids.append(index.setdefault(data[at:e], len(index)))
+            at = e
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return list(index), np.array(ids, np.int64), join(ks), join(ths), join(starts)
 
 
 def _find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces -> (th, removed spans), by the repeat groups of this task's suffix array."""
-    rows: list[tuple] = []
-    pieces, ids, ks, ths, starts = _gather(batches, rows)
-    if rows:
-        yield _rows(rows)
-    if not pieces:
-        return
+    """Pieces -> (th, removed spans), by the repeat groups of each bucket's suffix array."""
+    for passed, blobs in _by_bucket(batches):
+        if passed:
+            yield _rows(passed)
+        if blobs:
+            yield from _spans_of(blobs)
+
+
+def _spans_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    pieces, ids, ks, ths, starts = _gather(blobs)
     lens = np.array([len(p) for p in pieces], np.int64)
     least_k = np.full(len(pieces), np.iinfo(np.int64).max)
     np.minimum.at(least_k, ids, ks)
@@ -416,7 +437,13 @@ def _find_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pieces, ids, ks, _, starts = _gather(batches, [])
+    for _, blobs in _by_bucket(batches):
+        if blobs:
+            yield from _groups_of(blobs)
+
+
+def _groups_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    pieces, ids, ks, _, starts = _gather(blobs)
     order = np.argsort(ids, kind="stable")
     ids, ks, starts = ids[order], ks[order], starts[order]
     span = lambda p: slice(np.searchsorted(ids, p), np.searchsorted(ids, p, side="right"))
@@ -440,8 +467,8 @@ def _pieces(rows: DataFrame, texts: DataFrame) -> DataFrame:
     width = shuffle_width(rows.sparkSession)
     told = rows.select("th", "text").mapInArrow(_tell_anchors(width), _ROWS_DDL).repartition(width, "bucket")
     shared = told.mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
-    cut = texts.join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width), _ROWS_DDL)
-    return cut.repartition(width, "bucket")
+    cut = texts.join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK), _ROWS_DDL)
+    return cut.repartition(width, "bucket").sortWithinPartitions("bucket")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
