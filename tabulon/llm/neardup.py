@@ -328,11 +328,13 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     buckets = buckets.groupBy("n", "c", "set").agg(F.min("band").alias("band")).select("band", F.col("c.th").alias("cth"), F.ceil(F.col("n") / MEET).cast("int").alias("blocks"))
     member = member.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("th", F.lit("block")), F.col("blocks")).cast("int")).checkpoint()
 
+    asked = member.select(F.col("th").alias("t"), F.col("k").alias("k1")).distinct()
+    candidates = rows.join(asked, (F.col("th") == F.col("t")) & (F.col("k") == F.col("k1"))).select("th", "text").checkpoint()
+
     def met(groups: DataFrame) -> DataFrame:
         """Links within the groups of (group, first, th, k, root)."""
-        whole = rows.select(F.col("th").alias("t"), F.col("k").alias("k1"), "text")
-        with_text = groups.join(whole, (F.col("th") == F.col("t")) & (F.col("k") == F.col("k1")))
-        dealt = with_text.select("group", "first", "k", "th", "root", "text").repartition(shuffle_width(spark), "group").sortWithinPartitions("group", F.desc("first"), "k", "th")
+        dealt = groups.join(candidates, "th").select("group", "first", "k", "th", "root", "text")
+        dealt = dealt.repartition(shuffle_width(spark), "group").sortWithinPartitions("group", F.desc("first"), "k", "th")
         return dealt.select("group", "th", "root", "text").mapInArrow(_compare(idf, similar), "a long, b long")
 
     is_first = F.col("th") == F.col("cth")
