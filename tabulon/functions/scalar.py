@@ -431,7 +431,7 @@ def _substitute(s: V, old: V, new: V, nth: V | None = None) -> V:
     if nth is None:
         return V(F.when(o == "", t).otherwise(F.replace(t, o, w)), TEXT, first_error(s.err, old.err, new.err))
     k = int(nth.literal)
-    head = F.substring_index(t, o, k)
+    head = F.call_function("substring_index", t, o, F.lit(k))
     tail = F.substring(t, F.length(head) + F.length(o) + 1, F.length(t))
     return V(F.when((o == "") | (F.length(head) == F.length(t)), t).otherwise(F.concat(head, w, tail)), TEXT, first_error(s.err, old.err, new.err))
 
@@ -443,7 +443,8 @@ def _part(after: bool):
             t0, m = F.lower(t), F.lower(m)
         else:
             t0 = t
-        before = F.length(F.substring_index(t0, m, k)) if k > 0 else F.length(t) - F.length(F.substring_index(t0, m, k)) - F.length(m)
+        cut = F.call_function("substring_index", t0, m, F.lit(k))
+        before = F.length(cut) if k > 0 else F.length(t) - F.length(cut) - F.length(m)
         found = (F.length(m) > 0) & (before < F.length(t)) & (before >= 0)
         out = F.when(found, F.substring(t, before + F.length(m) + 1, F.length(t)) if after else F.substring(t, F.lit(1), before))
         return V(out, TEXT, first_error(s.err, mark.err, F.when(out.isNull(), F.lit(NA))))

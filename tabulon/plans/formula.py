@@ -133,6 +133,7 @@ class Compiler:
     def __init__(self, df: DataFrame, names: dict[str, object] | None = None):
         self.fields = {f.name.upper(): f for f in df.schema.fields}
         self.names = {k.upper(): v for k, v in (names or {}).items()}
+        self.steps: list[tuple[str, Column]] = []
 
     def compile(self, source: str) -> V:
         return self._value(parse(source))
@@ -149,7 +150,7 @@ class Compiler:
             y = number_arg(x)
             return V(-y.col, NUM, y.err, aggregate=x.aggregate)
         if n.op == "call":
-            return self._call(n.args[0], [self._value(a) for a in n.args[1:]])
+            return self._call(n.args[0], [self._value(a) for a in n.args[1:]], n.args[1:])
         a, b = map(self._value, n.args)
         return _arithmetic(n.op, a, b) if n.op in "+-*/" else _compare(n.op, a, b)
 
@@ -164,11 +165,25 @@ class Compiler:
         f = self.fields[key]
         return of_column(F.col(f"`{f.name}`"), f.dataType)
 
-    def _call(self, name: str, args: list[V]) -> V:
+    def _named(self, v: V, n: Node) -> V:
+        """A call within a call becomes a column of its own first: functions use their arguments more than
+        once, so nested expressions would multiply."""
+        if n.op != "call" or v.aggregate or v.literal is not None:
+            return v
+        at = f"__step{len(self.steps)}"
+        self.steps.append((at, v.col))
+        err = None
+        if v.err is not None:
+            self.steps.append((f"{at}_err", v.err))
+            err = F.col(f"{at}_err")
+        return V(F.col(at), v.kind, err)
+
+    def _call(self, name: str, args: list[V], nodes: tuple) -> V:
         if name in AGGREGATES and not (name in SCALARS and any(a.aggregate for a in args)):
             return AGGREGATES[name](*args)
         if name not in SCALARS:
             raise FormulaError(f"Unsupported function: {name}")
+        args = [self._named(a, n) for a, n in zip(args, nodes, strict=True)]
         out = SCALARS[name](*args)
         out.aggregate = any(a.aggregate for a in args)
         return out
@@ -178,10 +193,14 @@ def calculate(df: DataFrame, formulas: dict[str, str], names: dict[str, object]
     """Adds a column for each formula of a row's cells; with ``errors`` also ``<name>_err``, the error or null."""
     c = Compiler(df, names)
     for k, f in formulas.items():
+        c.steps.clear()
         v = c.compile(f)
+        for step, column in c.steps:
+            df = df.withColumn(step, column)
         df = df.withColumn(k, v.value())
         if errors:
             df = df.withColumn(f"{k}_err", v.err if v.err is not None else F.lit(None).cast("string"))
+        df = df.drop(*[step for step, _ in c.steps])
     return df
 
 
@@ -189,6 +208,8 @@ def summarize(df: DataFrame, formulas: dict[str, str], by: list[str] | None = No
     """Aggregate formulas over all rows or over each group, all in one pass."""
     c = Compiler(df, names)
     columns: list[Column] = [c.compile(f).value().alias(k) for k, f in formulas.items()]
+    for step, column in c.steps:
+        df = df.withColumn(step, column)
     return df.groupBy(*(by or [])).agg(*columns)
 
 
