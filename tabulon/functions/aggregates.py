@@ -195,11 +195,17 @@ def xnpv(rate: float, value: V, dates: V) -> Column:
 
 
 def _solver(f: Callable):
+    def solve(row) -> float | None:
+        try:
+            return f(*[[float(x) for x in a] for a in row])
+        except ArithmeticError:
+            return None
+
     @F.pandas_udf("double")
     def run(*arrays):
         import pandas as pd
 
-        return pd.Series([f(*[[float(x) for x in a] for a in row]) for row in zip(*arrays, strict=True)], dtype="float64")
+        return pd.Series([solve(row) for row in zip(*arrays, strict=True)], dtype="float64")
 
     return run
 

@@ -88,7 +88,7 @@ groups_query("agg_basic", "lineitem", ["l_returnflag", "l_linestatus"], {
 })
 groups_query("agg_product_logic", "lineitem", ["l_orderkey"], {
     "f_product": ("=PRODUCT(l_quantity)", "product(l_quantity)"), "f_and": ("=AND(l_discount)", "bool_and(l_discount <> 0)", "bool"), "f_or": ("=OR(l_tax)", "bool_or(l_tax <> 0)", "bool"), "f_xor": ("=XOR(l_tax)", "(count(*) FILTER (WHERE l_tax <> 0)) % 2 = 1", "bool"),
-    "f_rows": ("=ROWS(l_tax)", "count(*)"), "f_large": ("=LARGE(l_quantity, 2)", "list_reverse_sort(list(l_quantity))[2]"), "f_small": ("=SMALL(l_quantity, 1)", "min(l_quantity)"), "f_mode": ("=MODE.SNGL(l_linenumber)", "NULL"), "f_fvschedule": ("=FVSCHEDULE(100, l_tax)", "100 * product(1 + l_tax)"),
+    "f_rows": ("=ROWS(l_tax)", "count(*)"), "f_large": ("=LARGE(l_quantity, 2)", "list_reverse_sort(list(l_quantity))[2]"), "f_small": ("=SMALL(l_quantity, 1)", "min(l_quantity)"), "f_fvschedule": ("=FVSCHEDULE(100, l_tax)", "100 * product(1 + l_tax)"),
     "f_trimmean": ("=TRIMMEAN(l_quantity, 0.4)", "list_avg(list_sort(list(l_quantity))[floor(floor(count(*) * 0.4) / 2)::INT + 1:count(*)::INT - floor(floor(count(*) * 0.4) / 2)::INT])"),
 })
 groups_query("agg_criteria", "lineitem", ["l_returnflag"], {
