@@ -12,7 +12,7 @@ anchor, which follows from the window alone, so equal windows meet under equal a
 4. occurrences in later documents are the removed spans, joined to the texts again.
 
 Equal texts are handled once (told apart by a 64-bit hash), and a task tells another about an anchor or a
-piece once for each batch of 8 MB, so no anchor, passage or group of copies, however common, gathers in one
+piece once for each batch of 4 MB, so no anchor, passage or group of copies, however common, gathers in one
 task with a row for each document.
 """
 
@@ -30,9 +30,9 @@ from tabulon.llm.common import shuffle_width
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window, and windows in a piece at most
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Suffix arrays that a task builds, one after the other.
-ARRAYS_PER_TASK = 8
+ARRAYS_PER_TASK = 32
 _STRETCH = 1 << 18  # windows hashed at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -281,8 +281,8 @@ def suffix_array(pieces: list[bytes], least: int = LENGTH) -> tuple[np.ndarray,
     lens = np.array([len(p) for p in pieces], np.int64)
     starts = np.cumsum(lens) - lens
     counts = np.maximum(lens - least + 1, 0)
-    piece = np.repeat(np.arange(len(pieces)), counts)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
+    offset = (np.arange(len(piece), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)).astype(np.int32)
     longest = int(lens.max(initial=0))
     data = np.frombuffer(b"".join(pieces) + bytes(longest + 16), np.uint8)
     words = np.ndarray((len(data) - 7,), ">u8", buffer=data, strides=(1,))
@@ -295,14 +295,15 @@ def suffix_array(pieces: list[bytes], least: int = LENGTH) -> tuple[np.ndarray,
 
     at = starts[piece] + offset
     key = np.zeros(len(at), np.uint64)  # of the first bytes; suffixes alone with theirs are left out
-    full = np.full(len(at), least)
+    full = np.full(len(at), least, np.int16)
     for i in range(-(-least // 8)):
         key = (key ^ word(at, full, i)) * _C2
         key ^= key >> np.uint64(31)
     s = np.sort(key)
     again = np.unique(s[1:][s[1:] == s[:-1]])
     keep = np.flatnonzero(np.isin(key, again, kind="sort")) if len(again) else np.zeros(0, np.int64)
-    piece, offset, at = piece[keep], offset[keep], at[keep]
+    del key, s, again, full
+    piece, offset, at = piece[keep].astype(np.int64), offset[keep].astype(np.int64), at[keep]
     rest = lens[piece] - offset
     n_words = -(-longest // 8)
     columns = [word(at, rest, i) for i in range(n_words)]
