@@ -17,7 +17,7 @@ from tabulon.functions.criteria import matches
 from tabulon.functions.values import BOOL, DIV_ERROR, NA, NUM, NUM_ERROR, V, is_blank, number, number_a, serial, truth
 
 AGGREGATES: dict[str, Callable[..., V]] = {}
-_zero = F.lit(0.0)
+_nought = lambda: F.lit(0.0)
 
 
 def _out(col: Column, code: str | None = None) -> V:
@@ -36,13 +36,13 @@ def _each(f: Callable[[Column], Column], join: Callable[[Column, Column], Column
     return reduce(join, [f(of(a)) for a in args])
 
 
-_plus = lambda a, b: F.coalesce(a, _zero) + F.coalesce(b, _zero)
+_plus = lambda a, b: F.coalesce(a, _nought()) + F.coalesce(b, _nought())
 AGGREGATES |= {
-    "SUM": lambda *a: _out(F.coalesce(_each(F.sum, _plus, a), _zero)), "SUMSQ": lambda *a: _out(F.coalesce(_each(lambda x: F.sum(x * x), _plus, a), _zero)), "COUNT": lambda *a: _out(_each(F.count, lambda x, y: x + y, a).cast("double")),
+    "SUM": lambda *a: _out(F.coalesce(_each(F.sum, _plus, a), _nought())), "SUMSQ": lambda *a: _out(F.coalesce(_each(lambda x: F.sum(x * x), _plus, a), _nought())), "COUNT": lambda *a: _out(_each(F.count, lambda x, y: x + y, a).cast("double")),
     "COUNTA": lambda *a: _out(reduce(lambda x, y: x + y, [F.count(v.col) if v.err is None else F.count_if(v.col.isNotNull() | v.err.isNotNull()) for v in a]).cast("double")), "COUNTBLANK": lambda *a: _out(reduce(lambda x, y: x + y, [F.count_if(is_blank(v)) for v in a]).cast("double")),
-    "MIN": lambda *a: _out(F.coalesce(_each(F.min, F.least, a), _zero)), "MAX": lambda *a: _out(F.coalesce(_each(F.max, F.greatest, a), _zero)), "MINA": lambda *a: _out(F.coalesce(_each(F.min, F.least, a, number_a), _zero)), "MAXA": lambda *a: _out(F.coalesce(_each(F.max, F.greatest, a, number_a), _zero)),
+    "MIN": lambda *a: _out(F.coalesce(_each(F.min, F.least, a), _nought())), "MAX": lambda *a: _out(F.coalesce(_each(F.max, F.greatest, a), _nought())), "MINA": lambda *a: _out(F.coalesce(_each(F.min, F.least, a, number_a), _nought())), "MAXA": lambda *a: _out(F.coalesce(_each(F.max, F.greatest, a, number_a), _nought())),
     "AVERAGE": lambda *a: _out(F.try_divide(_each(F.sum, _plus, a), _each(F.count, lambda x, y: x + y, a)), DIV_ERROR), "AVERAGEA": lambda *a: _out(F.try_divide(_each(F.sum, _plus, a, number_a), _each(F.count, lambda x, y: x + y, a, number_a)), DIV_ERROR),
-    "PRODUCT": lambda *a: _out(F.coalesce(_each(F.product, lambda x, y: F.coalesce(x, F.lit(1.0)) * F.coalesce(y, F.lit(1.0)), a), _zero)),
+    "PRODUCT": lambda *a: _out(F.coalesce(_each(F.product, lambda x, y: F.coalesce(x, F.lit(1.0)) * F.coalesce(y, F.lit(1.0)), a), _nought())),
     "AND": lambda *a: V(reduce(lambda x, y: x & y, [F.coalesce(F.bool_and(truth(v)), F.lit(True)) for v in a]), BOOL, aggregate=True), "OR": lambda *a: V(reduce(lambda x, y: x | y, [F.coalesce(F.bool_or(truth(v)), F.lit(False)) for v in a]), BOOL, aggregate=True),
     "XOR": lambda *a: V(F.pmod(reduce(lambda x, y: x + y, [F.count_if(truth(v)) for v in a]), F.lit(2)) == 1, BOOL, aggregate=True), "ROWS": lambda a: _out(F.count(F.lit(1)).cast("double")),
 }
@@ -69,7 +69,7 @@ def _pair(f: Callable[[Column, Column], Column], code: str = DIV_ERROR):
 
 def _zeros(f: Callable[[Column, Column], Column]):
     """Of all rows, what is no number being 0."""
-    return lambda *a: _out(F.coalesce(F.sum(f(*[F.coalesce(number(v), _zero) for v in a])), _zero))
+    return lambda *a: _out(F.coalesce(F.sum(f(*[F.coalesce(number(v), _nought()) for v in a])), _nought()))
 
 
 def _moments(x: Column) -> tuple[Column, Column, Column]:
@@ -106,7 +106,7 @@ def _exc(x: Column, k: Column) -> Column:
     low = F.floor(at)
     values = _sorted(x)
     a, b = F.try_element_at(values, low.cast("int")), F.try_element_at(values, (low + 1).cast("int"))
-    return F.when((at >= 1) & (at <= n), a + F.coalesce((b - a) * (at - low), _zero))
+    return F.when((at >= 1) & (at <= n), a + F.coalesce((b - a) * (at - low), _nought()))
 
 
 def _nth(ascending: bool):
@@ -139,12 +139,12 @@ AGGREGATES |= {
     **dict.fromkeys(("STDEV", "STDEV.S"), _one(lambda x: _n_least(x, 2, F.stddev_samp(x)))), **dict.fromkeys(("STDEVP", "STDEV.P"), _one(F.stddev_pop)), **dict.fromkeys(("VAR", "VAR.S"), _one(lambda x: _n_least(x, 2, F.var_samp(x)))), **dict.fromkeys(("VARP", "VAR.P"), _one(F.var_pop)),
     "STDEVA": _one(lambda x: _n_least(x, 2, F.stddev_samp(x)), of=number_a), "STDEVPA": _one(F.stddev_pop, of=number_a), "VARA": _one(lambda x: _n_least(x, 2, F.var_samp(x)), of=number_a), "VARPA": _one(F.var_pop, of=number_a),
     "DEVSQ": _one(lambda x: F.var_pop(x) * F.count(x)), "AVEDEV": _one(_avedev), "MEDIAN": _one(F.median, NUM_ERROR), "GEOMEAN": _one(_positive(lambda x: F.exp(F.avg(F.log(x)))), NUM_ERROR), "HARMEAN": _one(_positive(lambda x: F.count(x) / F.sum(F.try_divide(F.lit(1.0), x))), NUM_ERROR),
-    "MODE.SNGL": _one(lambda x: F.when(F.count(x) > F.count_distinct(x), F.mode(x, True)), NA), "SKEW": _one(_skew), "SKEW.P": _one(lambda x: F.when(F.var_pop(x) == 0, _zero).otherwise(F.skewness(x))), "KURT": _one(_kurt), "TRIMMEAN": _one(_trimmean, NUM_ERROR),
+    "MODE.SNGL": _one(lambda x: F.when(F.count(x) > F.count_distinct(x), F.mode(x, True)), NA), "SKEW": _one(_skew), "SKEW.P": _one(lambda x: F.when(F.var_pop(x) == 0, _nought()).otherwise(F.skewness(x))), "KURT": _one(_kurt), "TRIMMEAN": _one(_trimmean, NUM_ERROR),
     **dict.fromkeys(("PERCENTILE", "PERCENTILE.INC"), _one(lambda x, k: _percentile(x, k.literal), NUM_ERROR)), "PERCENTILE.EXC": _one(lambda x, k: _exc(x, F.lit(k.literal)), NUM_ERROR),
     **dict.fromkeys(("QUARTILE", "QUARTILE.INC"), _one(lambda x, q: _percentile(x, q.literal / 4), NUM_ERROR)), "QUARTILE.EXC": _one(lambda x, q: _exc(x, F.lit(q.literal / 4)), NUM_ERROR), "LARGE": _nth(False), "SMALL": _nth(True),
     **dict.fromkeys(("CORREL", "PEARSON"), _pair(F.corr)), "RSQ": _pair(lambda y, x: F.pow(F.corr(y, x), 2)), **dict.fromkeys(("COVAR", "COVARIANCE.P"), _pair(F.covar_pop)), "COVARIANCE.S": _pair(lambda x, y: F.when(F.count(x) >= 2, F.covar_samp(x, y))),
     "SLOPE": _pair(F.regr_slope), "INTERCEPT": _pair(F.regr_intercept), "STEYX": _pair(_steyx), "SUMPRODUCT": _zeros(lambda *x: reduce(lambda a, b: a * b, x)), "SUMX2MY2": _zeros(lambda x, y: x * x - y * y), "SUMX2PY2": _zeros(lambda x, y: x * x + y * y), "SUMXMY2": _zeros(lambda x, y: (x - y) * (x - y)),
-    "FVSCHEDULE": lambda p, r: _out(number(p) * F.product(1 + number(r)) if not p.literal else F.lit(p.literal) * F.product(1 + number(r))), "PROB": lambda x, p, lo, hi=None: _out(F.coalesce(F.sum(F.when(number(x).between(min(lo.literal, (hi or lo).literal), max(lo.literal, (hi or lo).literal)), number(p))), _zero)),
+    "FVSCHEDULE": lambda p, r: _out(number(p) * F.product(1 + number(r)) if not p.literal else F.lit(p.literal) * F.product(1 + number(r))), "PROB": lambda x, p, lo, hi=None: _out(F.coalesce(F.sum(F.when(number(x).between(min(lo.literal, (hi or lo).literal), max(lo.literal, (hi or lo).literal)), number(p))), _nought())),
 }
 
 
@@ -166,7 +166,7 @@ def _ifs(f: Callable[[Column], Column], code: str | None):
     return lambda of, *pairs: _out(f(F.when(_crit(pairs), number(of))), code)
 
 
-_or0 = lambda f: lambda x: F.coalesce(f(x), _zero)
+_or0 = lambda f: lambda x: F.coalesce(f(x), _nought())
 AGGREGATES |= {
     "SUMIF": _if(_or0(F.sum), None), "AVERAGEIF": _if(F.avg, DIV_ERROR), "COUNTIF": lambda r, c: _out(F.count_if(matches(r, c.literal)).cast("double")), "SUMIFS": _ifs(_or0(F.sum), None), "AVERAGEIFS": _ifs(F.avg, DIV_ERROR),
     "MINIFS": _ifs(_or0(F.min), None), "MAXIFS": _ifs(_or0(F.max), None), "COUNTIFS": lambda *pairs: _out(F.count_if(_crit(pairs)).cast("double")),

@@ -110,7 +110,7 @@ def parse(source: str) -> Node:
 def _arithmetic(op: str, a: V, b: V) -> V:
     x, y = number_arg(a), number_arg(b)
     out = {"+": x.col + y.col, "-": x.col - y.col, "*": x.col * y.col, "/": F.try_divide(x.col, y.col)}[op]
-    errs = [x.err if x.literal is None else None, y.err if y.literal is None else None]
+    errs = [v.err for v in (x, y) if not isinstance(v.literal, float)]
     if op == "/":
         errs.append(F.when(y.col == 0, F.lit(DIV_ERROR)))
     return V(out, NUM, first_error(*errs), aggregate=a.aggregate or b.aggregate)
