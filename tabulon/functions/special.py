@@ -69,6 +69,8 @@ def bisect(cdf: Callable[[float], float], p: float, lo: float, hi: float) -> flo
         lo *= 2
     for _ in range(200):
         mid = (lo + hi) / 2
+        if hi - lo < 1e-15 * max(1.0, abs(mid)):
+            break
         if cdf(mid) < p:
             lo = mid
         else:

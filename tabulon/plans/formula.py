@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions import bonds_units  # noqa: F401  registers its functions
 from tabulon.functions.aggregates import AGGREGATES
 from tabulon.functions.scalar import SCALARS
 from tabulon.functions.values import BOOL, DIV_ERROR, NUM, V, first_error, lit, number_arg, of_column, text

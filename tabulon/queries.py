@@ -188,9 +188,26 @@ rows_query("finance_cashflows", "lineitem", LINE, {
     "f_nper": ("=NPER(0.01, -l_extendedprice, 10 * l_extendedprice)", "ln((-1) / (-1 + 10 * 0.01)) / ln(1.01)"), "f_sum": ("=IPMT(0.01, 1, l_quantity, 1000) + PPMT(0.01, 1, l_quantity, 1000)", "-1000 * pow(1.01, l_quantity) * 0.01 / (pow(1.01, l_quantity) - 1)"), "f_ipmt": ("=IPMT(0.01, 1, l_quantity, 1000)", "-10"), "f_ispmt": ("=ISPMT(0.1, 1, l_quantity, 1000)", "-100 * (1 - 1 / l_quantity)"),
     "f_pduration": ("=PDURATION(0.05, 100, 100 + l_quantity)", "ln((100 + l_quantity) / 100) / ln(1.05)"), "f_rri": ("=RRI(l_quantity, 100, 300)", "pow(3, 1 / l_quantity) - 1"), "f_nominal": ("=NOMINAL(0.05, 4)", "4 * (pow(1.05, 0.25) - 1)"), "f_effect": ("=EFFECT(0.05, l_linenumber)", "pow(1 + 0.05 / l_linenumber, l_linenumber) - 1"), "f_sln": ("=SLN(l_extendedprice, 100, 5)", f"({_x} - 100) / 5"), "f_syd": ("=SYD(l_extendedprice, 100, 5, 2)", f"({_x} - 100) * 4 * 2 / 30"),
     "f_ddb": ("=DDB(1000 + l_extendedprice, 100, 5, 1)", f"(1000 + {_x}) * 0.4"), "f_db": ("=DB(1000, 100, 6, 1)", "319"), "f_dollarde": ("=DOLLARDE(1.02, 16)", "1.125"), "f_dollarfr": ("=DOLLARFR(1.125, 16)", "1.02"), "f_rate": ("=ROUND(RATE(12, -100, 1000), 6)", "0.029229"),
+    "f_convert": ('=CONVERT(l_quantity, "ft", "m")', "l_quantity * 0.3048"), "f_duration": ('=DURATION("2020-01-01", "2021-12-21", 0.08, 0.08, 1)', "1.9259259259259258"), "f_vdb": ("=VDB(1000 + l_quantity, 0, 4, 0, 4)", "1000 + l_quantity"), "f_yieldmat": ('=YIELDMAT("2020-01-01", "2020-12-26", "2020-01-01", 0.05, 100)', "0.05"),
     "f_disc": ('=DISC("2024-01-01", "2024-12-26", 95, 100)', "0.05"), "f_intrate": ('=INTRATE("2024-01-01", "2024-12-26", 100, 110)', "0.1"), "f_yielddisc": ('=YIELDDISC("2024-01-01", "2024-12-26", 80, 100)', "0.25"), "f_accrintm": ('=ACCRINTM("2024-01-01", "2024-12-26", 0.1, 500)', "50"),
 })
 
+_Z = "(p_size / 25.0::DOUBLE)"
+rows_query("distributions", "part", ["p_partkey"], {
+    "f_poisson": ("=POISSON.DIST(3, (MOD(p_size, 7) + 1), FALSE)", "exp(-(p_size % 7 + 1)) * pow((p_size % 7 + 1), 3) / 6"), "f_binom": ("=BINOM.DIST(1, (MOD(p_size, 7) + 1), 0.3, FALSE)", "(p_size % 7 + 1) * 0.3 * pow(0.7, (p_size % 7 + 1) - 1)"), "f_negbinom": ("=NEGBINOM.DIST((MOD(p_size, 7) + 1), 1, 0.3, FALSE)", "0.3 * pow(0.7, (p_size % 7 + 1))"),
+    "f_gamma": ("=GAMMA.DIST((p_size / 600), 1, 2, TRUE)", "1 - exp(-(p_size / 600.0::DOUBLE) / 2)"), "f_gammaln": ("=GAMMALN(p_size)", "lgamma(p_size)"), "f_chisq": ("=CHISQ.DIST.RT(p_size, 2)", "exp(-p_size / 2)"), "f_chisqinv": ("=CHISQ.INV.RT(0.05 + (p_size / 600), 2)", "-2 * ln(0.05 + (p_size / 600.0::DOUBLE))"), "f_beta": ("=BETA.DIST((p_size / 600), 2, 1, TRUE)", "(p_size / 600.0::DOUBLE) * (p_size / 600.0::DOUBLE)"),
+    "f_betainv": ("=BETA.INV(0.1 + (p_size / 600), 2, 1)", "sqrt(0.1 + (p_size / 600.0::DOUBLE))"), "f_tdist": ("=T.DIST(p_size / 10, 1, TRUE)", "0.5 + atan(p_size / 10) / pi()"), "f_tinv": ("=T.INV(0.6 + (p_size / 600), 1)", "tan(pi() * (0.1 + (p_size / 600.0::DOUBLE)))"), "f_fdist": ("=F.DIST.RT(p_size, 2, 2)", "1 / (1 + p_size)"), "f_normpdf": ("=NORM.DIST(p_size, 25, 5, FALSE)", "exp(-pow((p_size - 25) / 5, 2) / 2) / (5 * sqrt(2 * pi()))"),
+    "f_norminv": ("=NORM.S.INV(NORM.S.DIST(p_size / 25, TRUE))", _Z), "f_lognorm": ("=LOGNORM.DIST(LOGNORM.INV(0.2 + (p_size / 600), 1, 2), 1, 2, TRUE)", "0.2 + (p_size / 600.0::DOUBLE)"), "f_hypgeom": ("=HYPGEOM.DIST(1, 1, (MOD(p_size, 7) + 1), 10, FALSE)", "(p_size % 7 + 1) / 10.0"), "f_gauss": ("=GAUSS((p_size / 600)) + GAUSS(-(p_size / 600))", "0"), "f_erf": ("=ERF((p_size / 600)) + ERFC((p_size / 600))", "1"),
+})
+rows_query("complex_numbers", "part", ["p_partkey"], {
+    "f_complex": ("=COMPLEX(p_size, 1)", "p_size || '+i'", "text"), "f_imabs": ('=IMABS(COMPLEX(3 * p_size, 4 * p_size))', "5 * p_size"), "f_imreal": ('=IMREAL(COMPLEX(p_size, 2))', "p_size"), "f_imaginary": ('=IMAGINARY(COMPLEX(p_size, -2))', "-2"), "f_imsum": ('=IMSUM(COMPLEX(p_size, 1), "2-i")', "(p_size + 2)::VARCHAR", "text"), "f_imsub": ('=IMSUB(COMPLEX(p_size, 1), "i")', "p_size::VARCHAR", "text"),
+    "f_improduct": ('=IMPRODUCT(COMPLEX(0, p_size), "i")', "(-p_size)::VARCHAR", "text"), "f_imdiv": ('=IMDIV(COMPLEX(0, p_size), "i")', "p_size::VARCHAR", "text"), "f_imconjugate": ("=IMCONJUGATE(COMPLEX(p_size, 2))", "p_size || '-2i'", "text"), "f_imargument": ("=IMARGUMENT(COMPLEX(p_size, p_size))", "pi() / 4"), "f_imexp": ("=IMREAL(IMEXP(COMPLEX(0, p_size)))", "cos(p_size)"), "f_imsqrt": ("=IMREAL(IMSQRT(COMPLEX(p_size, 0)))", "sqrt(p_size)"),
+    "f_imln": ("=IMREAL(IMLN(COMPLEX(p_size, 0)))", "ln(p_size)"), "f_imsin": ("=IMREAL(IMSIN(COMPLEX(p_size, 0)))", "sin(p_size)"), "f_imcos": ("=IMREAL(IMCOS(COMPLEX(p_size, 0)))", "cos(p_size)"), "f_imtan": ("=IMREAL(IMTAN(COMPLEX(p_size, 0)))", "tan(p_size)"), "f_impower": ("=IMREAL(IMPOWER(COMPLEX(p_size, 0), 2))", "p_size * p_size"), "f_imlog10": ("=IMREAL(IMLOG10(COMPLEX(p_size, 0)))", "log10(p_size)"),
+})
+groups_query("agg_tests", "lineitem", ["l_returnflag"], {
+    "f_ztest": ("=ROUND(Z.TEST(l_quantity, 25.5, 1000000) * 2, 1)", "1"), "f_ttest": ("=T.TEST(l_quantity, l_quantity, 2, 2)", "1"), "f_ftest": ("=F.TEST(l_quantity, l_quantity)", "1"), "f_chitest": ("=CHISQ.TEST(l_quantity, l_quantity)", "1"),
+})
+
 
 def queries() -> dict[str, Query]:
     from tabulon import queries_tables  # noqa: F401  registers its queries

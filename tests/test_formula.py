@@ -25,6 +25,8 @@ def one(spark, f):
     ("=DEC2BIN(-3)", "1111111101"), ("=HEX2DEC(\"FFFFFFFFFF\")", -1.0), ("=BIN2DEC(\"102\")", "#NUM!"), ("=DEC2HEX(10,1)", "A"), ("=BITLSHIFT(3,2)", 12.0), ("=GCD(12,18)", 6.0), ("=LCM(4,6)", 12.0), ("=COMBIN(5,2)", 10.0), ("=FACT(5)", 120.0),
     ("=TIME(25,0,0)", "#VALUE!"), ('=DATEDIF("2024-01-31","2024-03-01","M")', 1.0), ('=WORKDAY("2024-03-01",1)-DATEVALUE("2024-03-01")', 3.0), ('=NETWORKDAYS("2024-03-01","2024-03-31")', 21.0), ('=NETWORKDAYS("2024-03-10","2024-03-01")', -6.0), ('=ISOWEEKNUM("2021-01-03")', 53.0), ('=EOMONTH("2024-01-15",1)-0', 45351.0),
     ("=PDURATION(0.1,1000,2000)", 7.272540897341713), ("=RRI(10,1000,2000)", 0.07177346253629314), ("=PMT(0,10,1000)", -100.0), ("=SLN(10,1,0)", "Division by zero"), ("=DB(1000000,100000,6,1)", 319000.0), ("=DDB(2400,300,10,2)", 384.0), ("=DOLLARDE(1.02,16)", 1.125),
+    ('=CONVERT(1,"mi","km")', 1.609344), ('=CONVERT(212,"F","C")', 100.0), ('=CONVERT(1,"kg","m")', "#N/A"), ("=VDB(2400,300,10,0,1)", 480.0), ("=VDB(1000,0,4,0,4)", 1000.0), ('=DURATION("2020-01-01","2021-12-21",0.08,0.08,1)', 1.9259259259259258),
+    ('=YIELD("2020-01-01","2021-12-21",0.08,100,100,2)', 0.08), ('=YIELDMAT("2020-01-01","2020-12-26","2020-01-01",0.05,100)', 0.05), ('=ROUND(VALUE("1e2"),0)', 100.0),
     ("=NORM.S.DIST(1.96,TRUE)", 0.9750021048517795), ("=NORM.S.INV(2)", "#NUM!"), ("=IMSUM(\"1+2i\",\"3-i\")", "4+i"), ("=IMABS(\"3+4i\")", 5.0), ("=IMPRODUCT(\"i\",\"i\")", "-1"), ("=COMPLEX(1,-1)", "1-i"), ("=CHOOSE(4,1,2)", "#VALUE!"), ("=SWITCH(3,1,\"a\")", "#N/A"), ("=TYPE(TRUE)", 4.0),
 ])
 def test_scalars(spark, f, want):
