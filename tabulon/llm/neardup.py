@@ -306,14 +306,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, th, class_id``: a row for each document; ``class_id`` is the smallest doc_id of its class.
-
-    Equal texts are in one class, and so are texts linked by a chain of pairs of ``similar`` or more that
-    share a band (at 0.8 one in 5,000 pairs shares none).  Documents without words (null, empty, blank) are in
-    no class with others: their class_id is their own doc_id.  Null doc_ids count as larger than any other.
-    Repeated rows share a class.
-    """
+def _text_classes(docs: DataFrame, similar: float) -> DataFrame:
+    """(t, k, class_k) of every different text with words: its hash, its first document and that of its class."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
@@ -357,14 +351,29 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         root = components(links.unionByName(again))
     of_class = texts.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
     first = of_class.groupBy("root").agg(F.min("k").alias("class_k"))
-    named = of_class.join(first, "root").select(F.col("th").alias("t"), "class_k")
+    return of_class.join(first, "root").select(F.col("th").alias("t"), "k", "class_k")
+
+
+_TOP = (1 << 63) - 1
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``doc_id, th, class_id``: a row for each document; ``class_id`` is the smallest doc_id of its class.
+
+    Equal texts are in one class, and so are texts linked by a chain of pairs of ``similar`` or more that
+    share a band (at 0.8 one in 5,000 pairs shares none).  Documents without words (null, empty, blank) are in
+    no class with others: their class_id is their own doc_id.  Null doc_ids count as larger than any other.
+    Repeated rows share a class.
+    """
+    named = _text_classes(docs, similar).select("t", "class_k")
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return own.join(named, F.col("th") == F.col("t"), "left").select("doc_id", "th", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.nullif("class_k", top)).alias("class_id"))
+    return own.join(named, F.col("th") == F.col("t"), "left").select("doc_id", "th", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.nullif("class_k", F.lit(_TOP))).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents with one of each class left: that of the smallest doc_id (of repeated rows, one)."""
-    top = F.lit((1 << 63) - 1)
-    named = classes(docs, similar).where("doc_id <=> class_id").select(F.coalesce(F.col("doc_id").cast("long"), top).alias("__k"), F.col("th").alias("__th")).distinct()
-    kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), top)).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return kept.join(named, ["__k", "__th"], "left_semi").dropDuplicates(["__k", "__th"]).drop("__k", "__th")
+    first = _text_classes(docs, similar).where("k = class_k").select(F.col("k").alias("__k"), F.col("t").alias("__th"), F.lit(True).alias("__first"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_TOP))).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = kept.join(first, ["__k", "__th"], "left").where(F.col("__first") | ~worded)
+    return kept.dropDuplicates(["__k", "__th"]).drop("__k", "__th", "__first")
