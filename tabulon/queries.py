@@ -138,7 +138,11 @@ rows_query("math_combinatorics", "part", ["p_partkey"], {
 })
 rows_query("math_bases", "part", ["p_partkey"], {
     "f_dec2bin": ("=DEC2BIN(p_size)", "bin(p_size)", "text"), "f_dec2hex": ("=DEC2HEX(p_size, 4)", "lpad(hex(p_size), 4, '0')", "text"), "f_dec2oct": ("=DEC2OCT(p_size)", "CASE WHEN p_size >= 8 THEN (p_size // 8)::VARCHAR ELSE '' END || (p_size % 8)::VARCHAR", "text"), "f_dec2hexneg": ("=DEC2HEX(-p_size)", "hex(1099511627776 - p_size)", "text"), "f_bin2dec": ("=BIN2DEC(DEC2BIN(p_size))", "p_size"), "f_bin2neg": ("=BIN2DEC(DEC2BIN(-p_size))", "-p_size"),
+})
+rows_query("math_bases_hex", "part", ["p_partkey"], {
     "f_hex2dec": ("=HEX2DEC(DEC2HEX(-p_size))", "-p_size"), "f_oct2dec": ("=OCT2DEC(DEC2OCT(-p_size))", "-p_size"), "f_hex2bin": ("=HEX2BIN(DEC2HEX(p_size))", "bin(p_size)", "text"), "f_oct2hex": ("=OCT2HEX(DEC2OCT(p_size))", "hex(p_size)", "text"), "f_bin2hex": ("=BIN2HEX(DEC2BIN(p_size), 3)", "lpad(hex(p_size), 3, '0')", "text"), "f_bin2oct": ("=BIN2OCT(DEC2BIN(p_size))", "CASE WHEN p_size >= 8 THEN (p_size // 8)::VARCHAR ELSE '' END || (p_size % 8)::VARCHAR", "text"),
+})
+rows_query("math_bases_oct", "part", ["p_partkey"], {
     "f_hex2oct": ("=HEX2OCT(DEC2HEX(p_size))", "CASE WHEN p_size >= 8 THEN (p_size // 8)::VARCHAR ELSE '' END || (p_size % 8)::VARCHAR", "text"), "f_oct2bin": ("=OCT2BIN(DEC2OCT(p_size))", "bin(p_size)", "text"), "f_base": ("=BASE(p_size, 2, 8)", "lpad(bin(p_size), 8, '0')", "text"), "f_decimal": ("=DECIMAL(BASE(p_size, 16), 16)", "p_size"),
 })
 
