@@ -38,8 +38,8 @@ _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
-def _minima(data: np.ndarray) -> np.ndarray:
-    """For each window's start, the least hash of its grams."""
+def _minima(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window's start, the hash of its first gram and the least hash of its grams."""
     n = len(data)
     words = np.ndarray((n - 7,), "<u8", buffer=data, strides=(1,))
     h = words[: n - 15] * _C1
@@ -48,17 +48,21 @@ def _minima(data: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= _C3
     h ^= h >> np.uint64(32)
-    have = 1
+    grams, have = h, 1
     while have * 2 <= SPREAD:
         h = np.minimum(h[:-have], h[have:])
         have *= 2
     rest = SPREAD - have
-    return np.minimum(h[:-rest], h[rest:]) if rest else h
+    m = np.minimum(h[:-rest], h[rest:]) if rest else h
+    return grams[: len(m)], m
 
 
-def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(texts: list[bytes], apart: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, text index, first window, number of windows) of the runs of windows of one anchor, at most
-    ``SPREAD`` windows long; every window of every text is in exactly one."""
+    ``SPREAD`` windows long; every window of every text is in exactly one.
+
+    With ``apart``, a run is of the windows whose leftmost anchor is the same place, which follows from the
+    windows alone: wherever windows of one run occur in a row, they are in one run."""
     parts: list[tuple[np.ndarray, ...]] = []
     group: list[tuple[int, int, bytes]] = []
     size = 0
@@ -69,9 +73,11 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         data = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
         ends = np.cumsum([len(g[2]) for g in group])
         starts = ends - [len(g[2]) for g in group]
-        m = _minima(data)
+        grams, m = _minima(data)
         new = np.ones(len(m) + 1, bool)
         new[1:-1] = m[1:] != m[:-1]
+        if apart:
+            new[1:-1] |= grams[:-1] == m[:-1]
         new[starts] = True
         new[np.minimum(ends - LENGTH + 1, len(m))] = True
         at = np.flatnonzero(new)
@@ -86,6 +92,9 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         which, total = np.repeat(which, pieces), np.repeat(n, pieces)
         doc, base = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64)
         parts.append((m[first], doc[which], first + step - starts[which] + base[which], np.minimum(SPREAD, total - step)))
+        if apart:  # whether the run may go on in the next stretch
+            last = first + parts[-1][3] - 1
+            parts[-1] += (grams[last] != m[last],)
         group.clear()
 
     for i, t in enumerate(texts):
@@ -99,7 +108,12 @@ def anchor_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     flush()
     if not parts:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+    value, doc, start, n, *more = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if apart:
+        on = np.flatnonzero(more[0][:-1] & (start[1:] % _STRETCH == 0) & (start[1:] > 0) & (doc[1:] == doc[:-1]) & (value[1:] == value[:-1]))
+        n[on] += n[on + 1]
+        value, doc, start, n = (np.delete(c, on + 1) for c in (value, doc, start, n))
+    return value, doc, start, n
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,29 +165,36 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(o[a]), v[a:b]
 
 
-def _tell_anchors(buckets: int):
+def _tell_anchors(buckets: int, every: bool = False):
     """(th, text) -> for each bucket, which texts have which anchors; anchors that texts of the batch share
-    go back to these texts at once (th set) and to the bucket without their names."""
+    go back to these texts at once (th set) and to the bucket without their names.
+
+    With ``every``, rows are (th, text, copies), a th once, and anchors that a text has twice, or that a text
+    of several copies has, are shared too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ths, texts in _batches(batches, 1):
+        for ths, texts, *copies in _batches(batches, 1):
             seen = dict(zip(ths, texts, strict=True))
             names = np.fromiter(seen, np.int64, len(seen))
-            value, doc, _, _ = anchor_runs(list(seen.values()))
+            value, doc, _, _ = anchor_runs(list(seen.values()), every)
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
             first = np.ones(len(value), bool)
             first[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+            times = np.diff(np.r_[np.flatnonzero(first), len(value)])
             value, doc = value[first], doc[first]
             if not len(value):
                 continue
             starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
             n = np.diff(np.r_[starts, len(value)])
-            many = np.repeat(n > 1, n)
+            common = n > 1
+            if every:
+                common |= np.add.reduceat(times * np.array(copies[0], np.int64)[doc], starts) > 1
+            many = np.repeat(common, n)
             rows = []
             for i, keys in _by_owner(doc[many], value[many]):
                 rows.append((i % buckets, int(names[i]), _pack48(keys)))
-            one, one_doc, shared = value[~many], doc[~many], value[starts[n > 1]]
+            one, one_doc, shared = value[~many], doc[~many], value[starts[common]]
             to, to_shared = _bucket(one, buckets), _bucket(shared, buckets)
             order = np.lexsort((one_doc, to))
             one, one_doc, to = one[order], one_doc[order], to[order]
@@ -225,13 +246,13 @@ def _share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _rows(rows)
 
 
-def _cut_pieces(buckets: int):
+def _cut_pieces(buckets: int, every: bool = False):
     """(k, th, keys, text) -> pieces under shared anchors, dealt out by anchor; a piece that an earlier
-    document of the batch holds too is a removed span already (th set)."""
+    document of the batch holds too is a removed span already (th set), unless ``every`` one is to be sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ks, ths, keys, texts in _batches(batches, 3):
-            value, doc, start, n = anchor_runs(texts)
+            value, doc, start, n = anchor_runs(texts, every)
             mark = lambda d, k: k ^ ((d.astype(np.uint64) + np.uint64(1)) * _C1)
             known = [_unpack48(b"".join(x)) for x in keys]
             table = np.sort(mark(np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate(known)))
@@ -243,11 +264,13 @@ def _cut_pieces(buckets: int):
             pieces = [texts[d][s : s + m + LENGTH - 1] for d, s, m in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
             first: dict[bytes, int] = {}
             k_of = np.array(ks, np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-            for i, (p, k) in enumerate(zip(pieces, k_of.tolist(), strict=True)):
-                j = first.setdefault(p, i)
-                if k < k_of[j]:
-                    first[p] = i
-            later = np.array([k > k_of[first[p]] for p, k in zip(pieces, k_of.tolist(), strict=True)], bool)
+            later = np.zeros(len(pieces), bool)
+            if not every:
+                for i, (p, k) in enumerate(zip(pieces, k_of.tolist(), strict=True)):
+                    j = first.setdefault(p, i)
+                    if k < k_of[j]:
+                        first[p] = i
+                later = np.array([k > k_of[first[p]] for p, k in zip(pieces, k_of.tolist(), strict=True)], bool)
             rows = []
             spans = np.stack([start, start + n + LENGTH - 1], 1)
             for d, s in _by_owner(doc[later], np.flatnonzero(later)):
@@ -447,36 +470,67 @@ def _groups_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     pieces, ids, ks, _, starts = _gather(blobs)
     order = np.argsort(ids, kind="stable")
     ids, ks, starts = ids[order], ks[order], starts[order]
-    span = lambda p: slice(np.searchsorted(ids, p), np.searchsorted(ids, p, side="right"))
-    piece, offset, common, left = suffix_array(pieces) if pieces else (np.zeros(0, np.int64),) * 4
-    groups = [(p, 0, len(pieces[p]), [(p, 0)]) for p in range(len(pieces))]
-    groups += [(piece[a], offset[a], n, list(zip(piece[a : b + 1], offset[a : b + 1], strict=True))) for n, a, b in zip(*repeat_groups(common, left), strict=True)]
-    for p, o, n, leaves in groups:
-        occ = sorted((int(k), int(s + x)) for q, x in leaves for k, s in zip(ks[span(q)], starts[span(q)], strict=True))
-        if len(occ) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([pieces[p][o : o + n]], pa.binary()), pa.array([[{"doc_id": k, "start": s} for k, s in occ]], pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])))], names=["bytes", "occurrences"])
+    at = np.searchsorted(ids, np.arange(len(pieces) + 1))
+    piece, offset, common, left = suffix_array(pieces)
+    intervals = [(n, piece[a : b + 1], offset[a : b + 1]) for n, a, b in zip(*(x.tolist() for x in repeat_groups(common, left)), strict=True)]
+    # a piece is a group of its own occurrences, unless an interval holds it with those inside other pieces
+    lens = np.array([len(p) for p in pieces], np.int64)
+    alone = np.diff(at) > 1
+    for n, p, o in intervals:
+        alone[p[(o == 0) & (lens[p] == n)]] = False
+    zero = np.zeros(1, np.int64)
+    intervals += [(int(lens[p]), np.array([p]), zero) for p in np.flatnonzero(alone).tolist()]
+    texts, sizes, doc, start, held = [], [], [], [], 0
+    for n, p, o in intervals:
+        size = at[p + 1] - at[p]
+        i = np.repeat(at[p], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        k, s = ks[i], starts[i] + np.repeat(o, size)
+        order = np.lexsort((s, k))
+        texts.append(pieces[p[0]][o[0] : o[0] + n])
+        sizes.append(len(i))
+        doc.append(k[order])
+        start.append(s[order])
+        held += len(i)
+        if held >= 1 << 16:
+            yield _group_rows(texts, sizes, doc, start)
+            texts, sizes, doc, start, held = [], [], [], [], 0
+    if texts:
+        yield _group_rows(texts, sizes, doc, start)
+
+
+def _group_rows(texts: list[bytes], sizes: list[int], doc: list[np.ndarray], start: list[np.ndarray]) -> pa.RecordBatch:
+    places = pa.StructArray.from_arrays([pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(start), pa.int64())], names=["doc_id", "start"])
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), places)], names=["bytes", "occurrences"])
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (k, th, text): a null doc_id comes after all others, null text is empty; and the different texts
-    with their first k."""
+    with their first k and their number of rows."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    return rows, rows.groupBy("th").agg(F.min("k").alias("k"), F.first("text").alias("text"))
+    return rows, rows.groupBy("th").agg(F.min("k").alias("k"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
-def _pieces(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _pieces(rows: DataFrame, texts: DataFrame, every: bool = False) -> DataFrame:
+    """Pieces by bucket, with what is removed already; with ``every``, the pieces of all rows and no more."""
     width = shuffle_width(rows.sparkSession)
-    told = rows.select("th", "text").mapInArrow(_tell_anchors(width), _ROWS_DDL).repartition(width, "bucket")
+    asked = texts.select("th", "text", "copies") if every else rows.select("th", "text")
+    told = asked.mapInArrow(_tell_anchors(width, every), _ROWS_DDL).repartition(width, "bucket")
     shared = told.mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
-    cut = texts.join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK), _ROWS_DDL)
+    cut = (rows if every else texts).join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK, every), _ROWS_DDL)
     return cut.repartition(width, "bucket").sortWithinPartitions("bucket")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """The repeat groups: ``bytes`` (50 to 84 of them: longer repeats come as a row of overlapping ones) and
-    ``occurrences``, (doc_id, start) of each in the first document of every different text of a batch."""
+    """The maximal repeat groups: ``bytes`` and ``occurrences``, (doc_id, start) of all places in all rows
+    where these bytes are, two at least, those within one document and in equal texts and rows included; a
+    null doc_id is 2^63 - 1.
+
+    Groups are of 50 to 84 bytes, maximal among those whose windows have one place as their anchor: a longer
+    repeat comes as a row of overlapping groups, which hold each of its 50-byte strings.  How rows are batched
+    and dealt out makes no difference.  A row holds a group's occurrences, which one task gathers.
+    """
     rows, texts = _texts(docs)
-    return _pieces(rows, texts).where("th is null").mapInArrow(_find_groups, "bytes binary, occurrences array<struct<doc_id:bigint,start:bigint>>")
+    return _pieces(rows, texts, every=True).mapInArrow(_find_groups, "bytes binary, occurrences array<struct<doc_id:bigint,start:bigint>>")
 
 
 _CLEAN = "th long, k0 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -105,3 +105,63 @@ def test_windows_are_covered_once():
 @pytest.mark.parametrize("spans,want", [([], []), ([[3, 5], [1, 3], [9, 10]], [[1, 5], [9, 10]]), ([[1, 9], [2, 3], [4, 5]], [[1, 9]])])
 def test_union(spans, want):
     assert substrings.union(np.array(spans, np.int64).reshape(-1, 2)).tolist() == want
+
+
+def brute_groups(rows):
+    """(bytes, places) of every string of windows with one leftmost anchor that is in two places or more, of
+    which neither the bytes before nor those after are all the same (the ends of such windows differ)."""
+    seen = {}
+    for r, (d, t) in enumerate(rows):
+        b = (t or "").encode()
+        if len(b) < 50:
+            continue
+        grams = [substrings._minima(np.frombuffer(b[i : i + 16] * 4, np.uint8))[0][0] for i in range(len(b) - 15)]
+        anchor = [min(range(i, i + 35), key=lambda j: (grams[j], j)) for i in range(len(b) - 49)]
+        for i, a in enumerate(anchor):
+            for j in range(i, len(anchor)):
+                if anchor[j] != a:
+                    break
+                before = b[i - 1] if i and anchor[i - 1] == a else ("start", r, i)
+                after = b[j + 50] if j + 1 < len(anchor) and anchor[j + 1] == a else ("end", r, j)
+                seen.setdefault(b[i : j + 50], []).append(((1 << 63) - 1 if d is None else d, i, before, after))
+    return sorted((s, sorted(o[:2] for o in occ)) for s, occ in seen.items() if len({o[2] for o in occ}) > 1 and len({o[3] for o in occ}) > 1)
+
+
+@pytest.mark.parametrize("batch,stretch,parts", [(4 << 20, 1 << 18, 1), (4 << 20, 1 << 18, 5), (700, 64, 3)])
+def test_groups_are_whole(spark, monkeypatch, batch, stretch, parts):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, twice, copied = text(30), text(15), text(40)
+    rows = [(i, f"{text(rng.randint(0, 15))}{passage[rng.choice([0, 0, 20]) :]}{text(rng.randint(0, 15))}") for i in range(8)]
+    rows += [(20, f"{twice} {text(9)} {twice}"), (21, copied), (22, copied), (22, copied), (None, copied[:70]), (None, passage), (23, "z" * 180), (24, "ab" * 70), (25, None), (26, "short")]
+    monkeypatch.setattr(substrings, "BATCH_BYTES", batch)
+    monkeypatch.setattr(substrings, "_STRETCH", stretch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    # in a process of the test's own, where the sizes hold
+    rows_, texts = substrings._texts(df)
+    run = lambda f, d: [r for b in f(iter(d.toArrow().to_batches())) for r in b.to_pylist()]
+    told = run(substrings._tell_anchors(4, True), texts.select("th", "text", "copies"))
+    keys = {}
+    for b in range(4):
+        for m in substrings._share_anchors(iter([substrings._rows([tuple(r.values()) for r in told if r["bucket"] == b])])):
+            for r in m.to_pylist():
+                keys.setdefault(r["th"], []).append(r["data"])
+    cut = spark.createDataFrame([(r["k"], r["th"], keys[r["th"]], r["text"]) for r in rows_.collect() if r["th"] in keys], "k long, th long, keys array<binary>, text string")
+    pieces = sorted((tuple(r.values()) for r in run(substrings._cut_pieces(8, True), cut)), key=lambda r: r[0])
+    local = [g for b in substrings._find_groups(iter([substrings._rows(pieces)])) for g in b.to_pylist()]
+    want = brute_groups(rows)
+    for found in (local, substrings.repeats(df).collect()):
+        assert sorted((bytes(g["bytes"]), [(o["doc_id"], o["start"]) for o in g["occurrences"]]) for g in found) == want
+    places, windows = {}, set()
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b)):
+            for n in {len(g) for g, _ in want}:
+                if i + n <= len(b):
+                    places.setdefault(b[i : i + n], []).append(((1 << 63) - 1 if d is None else d, i))
+            if i + 50 <= len(b):
+                windows.add(b[i : i + 50])
+    assert all(sorted(places[g]) == occ for g, occ in want)
+    held = {g[i : i + 50] for g, _ in want for i in range(len(g) - 49)}
+    assert held == {w for w in windows if len(places[w]) > 1}
