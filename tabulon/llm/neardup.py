@@ -15,6 +15,7 @@ or connected, no pairs are listed, and no bucket, however large, is held by one
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,13 +164,14 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "th long, k long, bands array<bigint>"
+_SIGNED = "th long, k long, n long, bands array<bigint>"
 
 
 def _sign(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first: dict[int, tuple[int, str]] = {}
+            rows = Counter(batch.column(1).to_pylist())
             for k, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if th not in first or k < first[th][0]:
                     first[th] = (k, text)
@@ -182,8 +184,8 @@ def _sign(idf):
                     continue
                 keys = band_keys(samples(h, who, n, idf.value, t.n)[some])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-                columns = [pa.array([ths[at + i] for i in some], pa.int64()), pa.array([ks[at + i] for i in some], pa.int64()), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["th", "k", "bands"])
+                columns = [pa.array([ths[at + i] for i in some], pa.int64()), pa.array([ks[at + i] for i in some], pa.int64()), pa.array([rows[ths[at + i]] for i in some], pa.int64()), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["th", "k", "n", "bands"])
 
     return run
 
@@ -307,14 +309,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _text_classes(docs: DataFrame, similar: float) -> DataFrame:
-    """(t, k, class_k) of every different text with words: its hash, its first document and that of its class."""
+    """(t, k, class_k, class_t, class_n) of every different text with words: its hash, its first document, the
+    first document of its class, the least hash of that document's texts in the class, and the class's rows."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     top = F.lit((1 << 63) - 1)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     signed = rows.select("k", "th", "text").mapInArrow(_sign(idf), _SIGNED)
-    texts = signed.groupBy("th").agg(F.min("k").alias("k"), F.first("bands").alias("bands")).checkpoint()
+    texts = signed.groupBy("th").agg(F.min("k").alias("k"), F.sum("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
     member = texts.select(F.explode("bands").alias("band"), "th", "k")
     mark = F.xxhash64("th", F.lit("set")).cast("decimal(20,0)")
     buckets = member.groupBy("band").agg(F.min(F.struct("k", "th")).alias("c"), F.count(F.lit(1)).alias("n"), F.sum(mark).alias("set")).where("n > 1")
@@ -350,8 +353,8 @@ def _text_classes(docs: DataFrame, similar: float) -> DataFrame:
         again = met(both[0].unionByName(both[1]))
         root = components(links.unionByName(again))
     of_class = texts.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    first = of_class.groupBy("root").agg(F.min("k").alias("class_k"))
-    return of_class.join(first, "root").select(F.col("th").alias("t"), "k", "class_k")
+    first = of_class.groupBy("root").agg(F.min(F.struct("k", "th")).alias("c"), F.sum("n").alias("class_n"))
+    return of_class.join(first, "root").select(F.col("th").alias("t"), "k", F.col("c.k").alias("class_k"), F.col("c.th").alias("class_t"), "class_n")
 
 
 _TOP = (1 << 63) - 1
@@ -363,16 +366,19 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     Equal texts are in one class, and so are texts linked by a chain of pairs of ``similar`` or more that
     share a band (at 0.8 one in 5,000 pairs shares none).  Documents without words (null, empty, blank) are in
     no class with others: their class_id is their own doc_id.  Null doc_ids count as larger than any other.
-    Repeated rows share a class.
+    Repeated rows share a class.  Where several documents of a class all have no doc_id, its class_id is a
+    negative number from a hash of its own; a document alone without one has null.
     """
-    named = _text_classes(docs, similar).select("t", "class_k")
+    own_id = F.when(F.col("class_n") > 1, -F.shiftrightunsigned("class_t", 1) - 1)
+    named = _text_classes(docs, similar).select("t", F.when(F.col("class_k") < _TOP, F.col("class_k")).otherwise(own_id).alias("named"))
     own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return own.join(named, F.col("th") == F.col("t"), "left").select("doc_id", "th", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.nullif("class_k", F.lit(_TOP))).alias("class_id"))
+    return own.join(named, F.col("th") == F.col("t"), "left").select("doc_id", "th", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The documents with one of each class left: that of the smallest doc_id (of repeated rows, one)."""
-    first = _text_classes(docs, similar).where("k = class_k").select(F.col("k").alias("__k"), F.col("t").alias("__th"), F.lit(True).alias("__first"))
+    """The documents with one of each class left: that of the smallest doc_id (of repeated rows, one; of several
+    texts with that doc_id, or of a class without any, that of the least hash)."""
+    first = _text_classes(docs, similar).where("k = class_k and t = class_t").select(F.col("k").alias("__k"), F.col("t").alias("__th"), F.lit(True).alias("__first"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_TOP))).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = kept.join(first, ["__k", "__th"], "left").where(F.col("__first") | ~worded)

@@ -120,3 +120,30 @@ def test_odd(spark, odd_docs, no_docs):
     kept = neardup.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and neardup.drop_near_duplicates(no_docs).count() == 0
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, (1, 2, 3, None, 4, 5, 6, 7)))
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_tied_and_null_ids(spark, parts):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+
+    def copies(n):
+        base = rng.choice(words, 120).tolist()
+        return [" ".join(base[:-1] + [f"v{i}"]) for i in range(n)]
+
+    tied, none, other, mixed, same = copies(4), copies(3), copies(3), copies(3), copies(1)
+    rows = [(7, t) for t in tied] + [(None, t) for t in (*none, *other, *same * 2)] + [(None, mixed[0]), (9, mixed[1]), (9, mixed[2])] + [(None, "alone without an id here"), (7, "another text of the tied id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    kept = [(r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(df).collect()]
+    for group, d in ((tied, 7), (none, None), (other, None), (mixed, 9), (same, None)):
+        assert [k for k, t in kept if t in group] == [d]
+    assert len(kept) == 7
+    ids = {}
+    named = neardup.classes(df)
+    texts = {r["th"]: r["text"] for r in df.selectExpr("xxhash64(text) as th", "text").collect()}
+    for r in named.collect():
+        ids.setdefault(texts[r["th"]], set()).add(r["class_id"])
+    of = lambda group: set().union(*[ids[t] for t in group])
+    assert of(tied) == {7} and of(mixed) == {9} and ids["alone without an id here"] == {None}
+    assert all(len(of(g)) == 1 and min(of(g)) < 0 for g in (none, other, same))
+    assert len(of(none) | of(other) | of(same)) == 3
