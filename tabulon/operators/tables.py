@@ -242,15 +242,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_steps: int = 64) -> DataFrame:
-    """(node, steps): what can be reached from the sources, breadth first; each round joins only the last
-    round's nodes with the edges, and lineage is cut."""
+def reachable(edges: DataFrame, sources: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """(node, steps): what can be reached from the sources, within ``max_steps`` if given, breadth first; each
+    round joins only the last round's nodes with the edges, and lineage is cut."""
     seen = sources.select(F.col("node"), F.lit(0).alias("steps")).distinct()
-    front = seen
-    for step in range(1, max_steps + 1):
+    front, step = seen, 0
+    while max_steps is None or step < max_steps:
+        step += 1
         new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("steps", F.lit(step))
         front = new.checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if step % 16 == 0:
+            seen = seen.checkpoint()
     return seen
