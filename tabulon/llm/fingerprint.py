@@ -16,6 +16,7 @@ import re
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -92,26 +93,24 @@ def _tree(mark: str) -> list[tuple[bytes, int, int, list]]:
 def locate_edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
     """(start, end, start, end) of the stretches of a and of b that differ, in code points.
 
-    Roots that are equal end the search; else each level drops the branches equal at both ends of the row of
-    children, and descends into a branch that faces a single other one.
+    Roots that are equal end the search; else each level aligns the children by their digests and descends into
+    the branches that face each other between equal ones.
     """
     if a[:32] == b[:32]:
         return []
 
     def walk(x: list, y: list, at: int, bt: int) -> list[tuple[int, int, int, int]]:
-        i = 0
-        while i < min(len(x), len(y)) and x[i][0] == y[i][0]:
-            i += 1
-        j = 0
-        while j < min(len(x), len(y)) - i and x[-1 - j][0] == y[-1 - j][0]:
-            j += 1
-        s, t = x[i : len(x) - j], y[i : len(y) - j]
-        if not s and not t:
-            return []
-        if len(s) == len(t) == 1 and s[0][3] and t[0][3]:
-            return walk(s[0][3], t[0][3], s[0][1], t[0][1])
-        a0, b0 = (x[i - 1][2] if i else at), (y[i - 1][2] if i else bt)
-        return [(a0, s[-1][2] if s else a0, b0, t[-1][2] if t else b0)]
+        out = []
+        for kind, i, i1, j, j1 in SequenceMatcher(None, [n[0] for n in x], [n[0] for n in y], autojunk=False).get_opcodes():
+            if kind == "equal":
+                continue
+            s, t = x[i:i1], y[j:j1]
+            a0, b0 = (x[i - 1][2] if i else at), (y[j - 1][2] if j else bt)
+            if s and t and s[0][3] and t[0][3]:
+                out += walk([c for n in s for c in n[3]], [c for n in t for c in n[3]], a0, b0)
+            else:
+                out.append((a0, s[-1][2] if s else a0, b0, t[-1][2] if t else b0))
+        return out
 
     return walk(_tree(a), _tree(b), 0, 0)
 
