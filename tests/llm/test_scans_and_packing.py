@@ -6,7 +6,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tabulon.llm import fingerprint as fp
@@ -47,12 +50,50 @@ def test_packing_odd_and_empty(odd_docs, no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
 
 
+def check_encoder(enc, tok, texts):
+    ids, n = enc.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(n)
+    for t, e, k in zip(texts, ends.tolist(), n.tolist(), strict=True):
+        assert ids[e - k : e].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
+TRICKY = ["It's, don't; 'tis we'LL", "ÀÉ×÷ß ÿŸ İI ΣΑΣ", "é à,b", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <| |>", None, "", " \n", "x y z\x1cq\x85r", "_a_b__ ...,,, 12a3 ½ ①", "日本語 word,日 x日.", "A.B.C. \"Quoted,\" (paren) <tag>", "\u0301 e\u0301\u0301É", "ÃÃ—Ã·"]
+
+
 def test_word_encoder_equals_tokenizer():
-    tok = Tokenizer.from_file(PATH)
-    enc = packing.WordEncoder(open(PATH).read())
-    texts = ["It's, don't; 'tis we'LL", "ÀÉ×÷ß ÿŸ İI ΣΑΣ", "é à,b", "a<|endoftext|>b <|startoftext|>", "x y z\x1cq\x85r", "_a_b__ ...,,, 12a3 ½ ①", "日本語 word,日 x日.", "A.B.C. \"Quoted,\" (paren) <tag>"]
-    for t, got in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    check_encoder(packing.WordEncoder(open(PATH).read()), Tokenizer.from_file(PATH), TRICKY)
+
+
+_TOKENIZER = Tokenizer.from_file(PATH)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZ é'É×÷ÿ.,<|>9\n\t\u0301ß日") | st.characters(codec="utf-8"), max_size=40), min_size=1, max_size=6))
+def test_word_encoder_on_any_text(texts):
+    check_encoder(packing.encoder_of(open(PATH).read()), _TOKENIZER, texts)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    path = str(public_tokenizers.path(name))
+    enc = packing.WordEncoder(open(path).read())
+    assert enc.by_words == (name == "word_bpe_49k.json")
+    check_encoder(enc, Tokenizer.from_file(path), TRICKY)
+
+
+def test_piece_table_and_groups():
+    counts = np.array([1, 4096, 4097, 8191, 20000, 2, 3])
+    doc, length = packing.piece_table(counts)
+    for i, n in enumerate(counts.tolist()):
+        assert length[doc == i].tolist() == packing.pieces(n)
+    assert packing.piece_table(counts, 1)[1].tolist() == [1] * counts.sum()
+    assert list(packing.groups(np.array([5, 5, 20, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 5)] and list(packing.groups(np.array([], int))) == []
+
+
+def test_equal_doc_ids_number_alike_on_recomputation(spark):
+    rows = [(1, f"text {i} " * (i + 3)) for i in range(40)]
+    runs = [{(r["ids"], r["start"], r["sequence_id"]) for r in packing.pack(spark.createDataFrame(x, "doc_id long, text string").repartition(3), PATH).collect()} for x in (rows, rows[::-1])]
+    assert runs[0] == runs[1]
 
 
 def brute_base(text):
@@ -146,9 +187,7 @@ def test_edits_are_located():
 
 
 def test_word_encoder_over_generations(docs, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_CHUNKS", 200)
     monkeypatch.setattr(packing, "CACHE_WORDS", 150)
     tok, enc = Tokenizer.from_file(PATH), packing.WordEncoder(open(PATH).read())
-    texts = [r["text"] for r in docs.collect()]
-    for t in texts[:120]:
-        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    for r in docs.limit(120).collect():
+        check_encoder(enc, tok, [r["text"]])
