@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows without columns of these names, in any case: an operator's results take their place."""
+    taken = {n.lower() for n in names}
+    keep = [c for c in df.columns if c.lower() not in taken]
+    return df if len(keep) == len(df.columns) else df.select(*[f"`{c.replace('`', '``')}`" for c in keep])
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir.  Where it is unset, one on this machine
+    serves a local master, for there every task sees it; on a cluster it is an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (conf or "/tmp/tabulon-checkpoints").rstrip("/")
 
 

@@ -1,7 +1,8 @@
 """Whole-batch text kernels on code points: words, lines, and 64-bit hashes of any stretch.
 
 Hashes are polynomial in the code points modulo 2**64, from prefix sums, so the hash of a stretch costs two
-look-ups; a final mix spreads the bits.  They depend on the stretch alone, not on where it lies.
+look-ups; a final mix spreads the bits.  They depend on the stretch alone, not on where it lies.  Different
+stretches can have equal hashes (some texts are known for it), so whoever needs equality compares: ``same``.
 """
 
 from __future__ import annotations
@@ -83,6 +84,25 @@ class Texts:
         _, down = powers(len(self.data))
         return mix((s[ends] - s[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
+    def text(self, i: int) -> str:
+        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def same(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+        """Whether the stretches [a, a_end) and [b, b_end) hold equal code points, for each pair."""
+        n = a_end - a
+        out = n == b_end - b
+        todo = np.flatnonzero(out & (n > 0))
+        reach = np.cumsum(n[todo])
+        cuts = np.searchsorted(reach, np.arange(GROUP * 4, (reach[-1] if len(reach) else 0) + GROUP * 4, GROUP * 4), side="left") + 1
+        for part in np.split(todo, np.unique(cuts[cuts < len(todo)])):
+            if len(part):
+                m = n[part]
+                first = np.cumsum(m) - m
+                step = np.arange(m.sum()) - np.repeat(first, m)
+                equal = self.data[np.repeat(a[part], m) + step] == self.data[np.repeat(b[part], m) + step]
+                out[part] = np.logical_and.reduceat(equal, first)
+        return out
+
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flags (one for each code point) are set in each text."""
         c = np.zeros(len(flags) + 1, np.int64)
@@ -137,6 +157,12 @@ def twice(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_equal(keys: np.ndarray) -> np.ndarray:
+    """For each key, the index of the first key equal to it."""
+    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
 def owned(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Keys equal for equal hashes of the same owner only."""
     return mix(hashes + (owner.astype(np.uint64) + np.uint64(1)) * _M3)

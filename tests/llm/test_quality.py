@@ -2,6 +2,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tabulon.llm import quality, queries
 from tabulon.llm import textkernel as tk
@@ -43,6 +46,50 @@ def test_odd(spark, odd_docs, no_docs):
     assert quality.score(odd_docs, labels.limit(0)).where("not base_failed and not kept").count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_equal_hashes_of_different_lines_and_windows(n):
+    x, y = thue_morse(n), thue_morse(n, "b", "a")
+    t = tk.Texts([x + y])
+    h = t.hashes(np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] == h[1]  # the case is one
+    rest = " c d e f g h i"
+    texts = [f"{x}\n{y}", f"{x}\n{x}\n{y}\n{y}", f"{x}{rest} {y}{rest} z", f"{x}{rest} {x}{rest} {y}{rest}", "plain text"]
+    counts = quality.base_counts(tk.Texts(texts))
+    for i, text in enumerate(texts):
+        assert [counts[c][i] for c in quality.COUNTS] == brute(text)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("ab \n#é", max_size=120), min_size=1, max_size=5))
+def test_base_counts_of_any_text(texts):
+    counts = quality.base_counts(tk.Texts(texts))
+    for i, text in enumerate(texts):
+        assert [counts[c][i] for c in quality.COUNTS] == brute(text) and quality._repeats(text) == tuple(brute(text)[3:])
+
+
+def test_clashing_columns_and_odd_field_names(spark, odd_docs):
+    clash = odd_docs.selectExpr("*", "'x' as n_words", "'y' as kept", "'z' as P_Quality", "named_struct('a b', 1) as s")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = quality.score(clash, labels)
+    check(rows.collect(), odd_docs)
+    assert rows.columns == [*odd_docs.columns, "s", *quality.COUNTS, "p_quality", "base_failed", "kept"] and rows.first()["s"][0] == 1
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    seen = []
+    real, quality.fit = quality.fit, lambda texts, good: seen.append((texts, good.tolist())) or np.full(3, len(texts))
+    try:
+        assert quality.train(docs, labels).tolist() == [2.0] * 3
+    finally:
+        quality.fit = real
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
