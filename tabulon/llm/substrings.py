@@ -11,7 +11,7 @@ anchor, which follows from the window alone, so equal windows meet under equal a
    repeat groups, each with all its occurrences and the smallest doc_id among them;
 4. occurrences in later documents are the removed spans, joined to the texts again.
 
-Equal texts are handled once (told apart by a 64-bit hash), and a task tells another about an anchor or a
+Equal texts are handled once (told apart by a 128-bit digest), and a task tells another about an anchor or a
 piece once for each batch of 4 MB, so no anchor, passage or group of copies, however common, gathers in one
 task with a row for each document.
 """
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import shuffle_width
+from tabulon.llm.common import digest, shuffle_width
+from tabulon.llm.textkernel import mix
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window, and windows in a piece at most
 BATCH_BYTES = 4 << 20
-#: Suffix arrays that a task builds, one after the other.
-ARRAYS_PER_TASK = 32
+#: Suffix arrays that a task builds, and parts in which it looks through its anchors, one after the other.
+ARRAYS_PER_TASK, PARTS_PER_TASK = 32, 16
 _STRETCH = 1 << 18  # windows hashed at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -113,11 +114,11 @@ def anchor_runs(texts: list[bytes], apart: bool = False) -> tuple[np.ndarray, np
         on = np.flatnonzero(more[0][:-1] & (start[1:] % _STRETCH == 0) & (start[1:] > 0) & (doc[1:] == doc[:-1]) & (value[1:] == value[:-1]))
         n[on] += n[on + 1]
         value, doc, start, n = (np.delete(c, on + 1) for c in (value, doc, start, n))
-    return value, doc, start, n
+    return mix(value), doc, start, n  # the least of many hashes is small; mixed, it is dealt out evenly
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+    return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack48(keys: np.ndarray) -> bytes:
@@ -148,8 +149,14 @@ def _batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[l
         yield [list(c) for c in zip(*held, strict=True)]
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), ("data", pa.binary())])
-_ROWS_DDL = "bucket int, th long, data binary"
+_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), ("data", pa.binary())])
+_ROWS_DDL = "bucket int, th binary, data binary"
+#: A text's digest, in an array.
+_NAME = np.dtype("V16")
+
+
+def _names(ths: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ths), _NAME)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,18 +172,21 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(o[a]), v[a:b]
 
 
+def _parts(width: int) -> int:
+    """Parts of a task's anchors: several, unless so many tasks share them that the rows would hold next to none."""
+    return max(1, min(PARTS_PER_TASK, 4096 // width))
+
+
 def _tell_anchors(buckets: int, every: bool = False):
-    """(th, text) -> for each bucket, which texts have which anchors; anchors that texts of the batch share
-    go back to these texts at once (th set) and to the bucket without their names.
+    """(th, text, copies), a th once -> for each bucket, which texts have which anchors; anchors that texts of the
+    batch share go back to these texts at once (th set) and to the bucket without their names.
 
-    With ``every``, rows are (th, text, copies), a th once, and anchors that a text has twice, or that a text
-    of several copies has, are shared too."""
+    With ``every``, anchors that a text has twice, or that a text of several copies has, are shared too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ths, texts, *copies in _batches(batches, 1):
-            seen = dict(zip(ths, texts, strict=True))
-            names = np.fromiter(seen, np.int64, len(seen))
-            value, doc, _, _ = anchor_runs(list(seen.values()), every)
+        for ths, texts, copies in _batches(batches, 1):
+            names = _names(ths)
+            value, doc, _, _ = anchor_runs(texts, every)
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
             first = np.ones(len(value), bool)
@@ -189,11 +199,11 @@ def _tell_anchors(buckets: int, every: bool = False):
             n = np.diff(np.r_[starts, len(value)])
             common = n > 1
             if every:
-                common |= np.add.reduceat(times * np.array(copies[0], np.int64)[doc], starts) > 1
+                common |= np.add.reduceat(times * np.array(copies, np.int64)[doc], starts) > 1
             many = np.repeat(common, n)
             rows = []
             for i, keys in _by_owner(doc[many], value[many]):
-                rows.append((i % buckets, int(names[i]), _pack48(keys)))
+                rows.append((i % buckets, ths[i], _pack48(keys)))
             one, one_doc, shared = value[~many], doc[~many], value[starts[common]]
             to, to_shared = _bucket(one, buckets), _bucket(shared, buckets)
             order = np.lexsort((one_doc, to))
@@ -203,42 +213,41 @@ def _tell_anchors(buckets: int, every: bool = False):
                 who, counts = np.unique(one_doc[lo:hi], return_counts=True)
                 mine = shared[to_shared == b]
                 head = np.array([len(who), hi - lo], "<u4").tobytes()
-                rows.append((int(b), None, head + names[who].astype("<i8").tobytes() + counts.astype("<u4").tobytes() + _pack48(one[lo:hi]) + _pack48(mine)))
+                rows.append((int(b), None, head + names[who].tobytes() + counts.astype("<u4").tobytes() + _pack48(one[lo:hi]) + _pack48(mine)))
             yield _rows(rows)
 
     return run
 
 
 def _share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tells each text which of its anchors another text has: (th, keys)."""
-    keys, names, many = [], [], []
-    for b in batches:
-        passed = []
-        for bucket, th, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if th is not None:
-                passed.append((bucket, th, data))
-                continue
-            docs, n = np.frombuffer(data, "<u4", 2)
-            who = np.frombuffer(data, "<i8", docs, 8)
-            counts = np.frombuffer(data, "<u4", docs, 8 + 8 * int(docs))
-            k = _unpack48(data[8 + 12 * int(docs) :]) | np.uint64(bucket & 0xFFFF) << np.uint64(48)
-            keys.append(k)
-            names.append(np.r_[np.repeat(who, counts), np.zeros(len(k) - int(n), np.int64)])
-            many.append(np.arange(len(k)) >= n)
+    """Tells each text which of its anchors another text has: (th, keys).  One bucket is held at a time."""
+    for passed, blobs in _by_bucket(batches):
         if passed:
             yield _rows(passed)
-    if not keys:
-        return
-    key, name, multi = np.concatenate(keys), np.concatenate(names), np.concatenate(many)
-    del keys, names, many
-    order = np.lexsort((name, key))
-    key, name, multi = key[order], name[order], multi[order]
+        if blobs:
+            yield from _shared_of(blobs)
+
+
+def _shared_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    keys, owners, names, n_names = [], [], [], 0
+    for data in blobs:
+        docs, n = (int(x) for x in np.frombuffer(data, "<u4", 2))
+        names.append(np.frombuffer(data, _NAME, docs, 8))
+        counts = np.frombuffer(data, "<u4", docs, 8 + 16 * docs)
+        k = _unpack48(data[8 + 20 * docs :])
+        keys.append(k)
+        owners.append(np.r_[np.repeat(np.arange(n_names, n_names + docs), counts), np.full(len(k) - n, -1)])
+        n_names += docs
+    key, owner, name = np.concatenate(keys), np.concatenate(owners), np.concatenate(names)
+    del keys, owners, names
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    differ = np.r_[False, (key[1:] == key[:-1]) & (name[1:] != name[:-1])] | multi
-    hit = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.r_[starts, len(key)])) & ~multi
+    differ = np.r_[False, (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])] | (owner < 0)
+    hit = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.r_[starts, len(key)])) & (owner >= 0)
     rows = []
-    for th, k in _by_owner(name[hit], key[hit] & _LOW48):
-        rows.append((0, th, _pack48(np.unique(k))))
+    for i, k in _by_owner(owner[hit], key[hit]):
+        rows.append((0, name[i].tobytes(), _pack48(np.unique(k))))
         if len(rows) >= 5000:
             yield _rows(rows)
             rows = []
@@ -252,6 +261,7 @@ def _cut_pieces(buckets: int, every: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ks, ths, keys, texts in _batches(batches, 3):
+            names = _names(ths)
             value, doc, start, n = anchor_runs(texts, every)
             mark = lambda d, k: k ^ ((d.astype(np.uint64) + np.uint64(1)) * _C1)
             known = [_unpack48(b"".join(x)) for x in keys]
@@ -277,9 +287,8 @@ def _cut_pieces(buckets: int, every: bool = False):
                 rows.append((d % buckets, ths[d], union(spans[s]).astype("<i8").tobytes()))
             for b, i in _by_owner(bucket[~later], np.flatnonzero(~later)):
                 mine = [pieces[j] for j in i.tolist()]
-                who = np.array([ths[d] for d in doc[i].tolist()], "<i8")
                 head = np.array([len(i)], "<u4").tobytes() + np.array([len(p) for p in mine], np.uint8).tobytes()
-                rows.append((b, None, head + k_of[i].astype("<i8").tobytes() + who.tobytes() + start[i].astype("<i8").tobytes() + b"".join(mine)))
+                rows.append((b, None, head + k_of[i].astype("<i8").tobytes() + names[doc[i]].tobytes() + start[i].astype("<u4").tobytes() + b"".join(mine)))
             if rows:
                 yield _rows(rows)
 
@@ -400,11 +409,11 @@ def _gather(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np
     ids, ks, ths, starts = [], [], [], []
     for data in blobs:
         n = int(np.frombuffer(data, "<u4", 1)[0])
-        ends = np.cumsum(np.frombuffer(data, np.uint8, n, 4), dtype=np.int64) + 4 + 25 * n
+        ends = np.cumsum(np.frombuffer(data, np.uint8, n, 4), dtype=np.int64) + 4 + 29 * n
         ks.append(np.frombuffer(data, "<i8", n, 4 + n))
-        ths.append(np.frombuffer(data, "<i8", n, 4 + 9 * n))
-        starts.append(np.frombuffer(data, "<i8", n, 4 + 17 * n))
-        at = 4 + 25 * n
+        ths.append(np.frombuffer(data, _NAME, n, 4 + 9 * n))
+        starts.append(np.frombuffer(data, "<u4", n, 4 + 25 * n).astype(np.int64))
+        at = 4 + 29 * n
         for e in ends.tolist():
             ids.append(index.setdefault(data[at:e], len(index)))
             at = e
@@ -449,10 +458,13 @@ def _spans_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         o = np.repeat(occ, n)
         found_th.append(ths[o])
         found.append(np.stack([starts[o] + a[span], starts[o] + b[span]], 1))
-    th, spans = np.concatenate(found_th), np.concatenate(found)
-    rows = []
-    for t, i in _by_owner(th, np.arange(len(th))):
-        rows.append((0, t, union(spans[i]).astype("<i8").tobytes()))
+    spans = np.concatenate(found)
+    which: dict[bytes, int] = {}
+    data = np.concatenate(found_th).tobytes()
+    owner = np.array([which.setdefault(data[i : i + 16], len(which)) for i in range(0, len(data), 16)], np.int64)
+    names, rows = list(which), []
+    for t, i in _by_owner(owner, np.arange(len(owner))):
+        rows.append((0, names[t], union(spans[i]).astype("<i8").tobytes()))
         if len(rows) >= 5000:
             yield _rows(rows)
             rows = []
@@ -506,15 +518,15 @@ def _group_rows(texts: list[bytes], sizes: list[int], doc: list[np.ndarray], sta
 def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (k, th, text): a null doc_id comes after all others, null text is empty; and the different texts
     with their first k and their number of rows."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", digest(F.col("text")))
     return rows, rows.groupBy("th").agg(F.min("k").alias("k"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
 def _pieces(rows: DataFrame, texts: DataFrame, every: bool = False) -> DataFrame:
     """Pieces by bucket, with what is removed already; with ``every``, the pieces of all rows and no more."""
     width = shuffle_width(rows.sparkSession)
-    asked = texts.select("th", "text", "copies") if every else rows.select("th", "text")
-    told = asked.mapInArrow(_tell_anchors(width, every), _ROWS_DDL).repartition(width, "bucket")
+    told = texts.select("th", "text", "copies").mapInArrow(_tell_anchors(width * _parts(width), every), _ROWS_DDL)
+    told = told.repartition(width, "bucket").sortWithinPartitions("bucket")
     shared = told.mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
     cut = (rows if every else texts).join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK, every), _ROWS_DDL)
     return cut.repartition(width, "bucket").sortWithinPartitions("bucket")
@@ -533,7 +545,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return _pieces(rows, texts, every=True).mapInArrow(_find_groups, "bytes binary, occurrences array<struct<doc_id:bigint,start:bigint>>")
 
 
-_CLEAN = "th long, k0 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CLEAN = "th binary, k0 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _apply(keep_bytes: bool):
@@ -551,7 +563,7 @@ def _apply(keep_bytes: bool):
                 kept = b"".join([*kept, t[at:]]) if len(gone) else t
                 for c, v in zip(out, (len(t), len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
                     c.append(v)
-            kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
+            kinds = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([th, k, *out], kinds, strict=True)], names=names)
 
     return run

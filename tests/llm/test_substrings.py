@@ -147,7 +147,7 @@ def test_groups_are_whole(spark, monkeypatch, batch, stretch, parts):
         for m in substrings._share_anchors(iter([substrings._rows([tuple(r.values()) for r in told if r["bucket"] == b])])):
             for r in m.to_pylist():
                 keys.setdefault(r["th"], []).append(r["data"])
-    cut = spark.createDataFrame([(r["k"], r["th"], keys[r["th"]], r["text"]) for r in rows_.collect() if r["th"] in keys], "k long, th long, keys array<binary>, text string")
+    cut = spark.createDataFrame([(r["k"], r["th"], keys[r["th"]], r["text"]) for r in rows_.collect() if r["th"] in keys], "k long, th binary, keys array<binary>, text string")
     pieces = sorted((tuple(r.values()) for r in run(substrings._cut_pieces(8, True), cut)), key=lambda r: r[0])
     local = [g for b in substrings._find_groups(iter([substrings._rows(pieces)])) for g in b.to_pylist()]
     want = brute_groups(rows)
@@ -165,3 +165,27 @@ def test_groups_are_whole(spark, monkeypatch, batch, stretch, parts):
     assert all(sorted(places[g]) == occ for g, occ in want)
     held = {g[i : i + 50] for g, _ in want for i in range(len(g) - 49)}
     assert held == {w for w in windows if len(places[w]) > 1}
+
+
+@pytest.mark.parametrize("buckets", [51, 200, 816])
+def test_anchors_are_dealt_evenly(spark, buckets):
+    texts = [(r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").distinct().limit(400).collect()]
+    value = np.unique(substrings.anchor_runs(texts)[0])
+    sizes = np.bincount(substrings._bucket(value, buckets), minlength=buckets)
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > 0
+
+
+def test_buckets_split_beyond_sixteen_bits():
+    value = substrings.mix(np.arange(1, 400_000, dtype=np.uint64))
+    assert len(np.unique(substrings._bucket(value, 1 << 20))) > 300_000
+
+
+def test_a_text_of_many_copies_tells_its_anchors_once(spark):
+    rng = random.Random(1)
+    copied = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(30))
+    rows = [(i, copied) for i in range(3000)] + [(5000 + i, f"{i} {copied[:90]}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    _, texts = substrings._texts(df)
+    told = texts.select("th", "text", "copies").mapInArrow(substrings._tell_anchors(4), substrings._ROWS_DDL)
+    assert texts.count() == 6 and told.count() <= 6 * 5
+    assert result(substrings.remove_repeats(df)) == brute(rows)
