@@ -32,8 +32,8 @@ from tabulon.llm.textkernel import mix
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1  # grams in a window, and windows in a piece at most
 BATCH_BYTES = 4 << 20
-#: Suffix arrays that a task builds, and parts in which it looks through its anchors, one after the other.
-ARRAYS_PER_TASK, PARTS_PER_TASK = 32, 16
+#: Suffix arrays that a task builds, one after the other; anchors that it looks through at a time, or so.
+ARRAYS_PER_TASK, ANCHORS_AT_A_TIME = 32, 2_000_000
 _STRETCH = 1 << 18  # windows hashed at a time
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -151,8 +151,9 @@ def _batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[l
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), ("data", pa.binary())])
 _ROWS_DDL = "bucket int, th binary, data binary"
-#: A text's digest, in an array.
+#: A text's digest, in an array; the most anchors that an entry for a text has.
 _NAME = np.dtype("V16")
+_MOST = (1 << 16) - 1
 
 
 def _names(ths: list[bytes]) -> np.ndarray:
@@ -172,16 +173,12 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(o[a]), v[a:b]
 
 
-def _parts(width: int) -> int:
-    """Parts of a task's anchors: several, unless so many tasks share them that the rows would hold next to none."""
-    return max(1, min(PARTS_PER_TASK, 4096 // width))
-
-
 def _tell_anchors(buckets: int, every: bool = False):
-    """(th, text, copies), a th once -> for each bucket, which texts have which anchors; anchors that texts of the
+    """(th, text, k), a th once -> for each bucket, which texts have which anchors; anchors that texts of the
     batch share go back to these texts at once (th set) and to the bucket without their names.
 
-    With ``every``, anchors that a text has twice, or that a text of several copies has, are shared too."""
+    With ``every``, rows are (th, text, copies), and anchors that a text has twice, or that a text of several
+    copies has, are shared too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ths, texts, copies in _batches(batches, 1):
@@ -212,34 +209,57 @@ def _tell_anchors(buckets: int, every: bool = False):
                 lo, hi = np.searchsorted(to, b), np.searchsorted(to, b, side="right")
                 who, counts = np.unique(one_doc[lo:hi], return_counts=True)
                 mine = shared[to_shared == b]
+                fits = -(-counts // _MOST)  # a text of more anchors comes several times
+                who, left = np.repeat(who, fits), np.full(fits.sum(), _MOST)
+                left[np.cumsum(fits) - 1] = counts - (fits - 1) * _MOST
                 head = np.array([len(who), hi - lo], "<u4").tobytes()
-                rows.append((int(b), None, head + names[who].tobytes() + counts.astype("<u4").tobytes() + _pack48(one[lo:hi]) + _pack48(mine)))
+                rows.append((int(b), None, head + names[who].tobytes() + left.astype("<u2").tobytes() + _pack48(one[lo:hi]) + _pack48(mine)))
             yield _rows(rows)
 
     return run
 
 
 def _share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tells each text which of its anchors another text has: (th, keys).  One bucket is held at a time."""
-    for passed, blobs in _by_bucket(batches):
+    """Tells each text which of its anchors another text has: (th, keys).
+
+    A task holds its anchors as they came, six bytes each, and looks through a range of them at a time.
+    """
+    names: dict[bytes, int] = {}
+    blobs: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+    total = 0
+    for batch in batches:
+        passed = []
+        for bucket, th, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if th is not None:
+                passed.append((bucket, th, data))
+                continue
+            n_docs, n = (int(x) for x in np.frombuffer(data, "<u4", 2))
+            who = np.array([names.setdefault(data[i : i + 16], len(names)) for i in range(8, 8 + 16 * n_docs, 16)], np.int64)
+            at = 8 + 18 * n_docs
+            blobs.append((who, np.frombuffer(data, "<u2", n_docs, 8 + 16 * n_docs), data[at:]))
+            total += (len(data) - at) // 6
         if passed:
             yield _rows(passed)
-        if blobs:
-            yield from _shared_of(blobs)
-
-
-def _shared_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    keys, owners, names, n_names = [], [], [], 0
-    for data in blobs:
-        docs, n = (int(x) for x in np.frombuffer(data, "<u4", 2))
-        names.append(np.frombuffer(data, _NAME, docs, 8))
-        counts = np.frombuffer(data, "<u4", docs, 8 + 16 * docs)
-        k = _unpack48(data[8 + 20 * docs :])
-        keys.append(k)
-        owners.append(np.r_[np.repeat(np.arange(n_names, n_names + docs), counts), np.full(len(k) - n, -1)])
-        n_names += docs
-    key, owner, name = np.concatenate(keys), np.concatenate(owners), np.concatenate(names)
-    del keys, owners, names
+    ths = list(names)
+    names.clear()
+    slices = -(-total // ANCHORS_AT_A_TIME)
+    for part in range(slices):
+        lo, hi = (np.uint64((i << 48) // slices) for i in (part, part + 1))
+        keys, owner = [], []
+        for who, counts, data in blobs:
+            k = _unpack48(data)
+            o = np.full(len(k), -1)
+            mine = np.repeat(who, counts)
+            o[: len(mine)] = mine
+            here = (k >= lo) & (k < hi)
+            keys.append(k[here])
+            owner.append(o[here])
+        yield from _shared_of(np.concatenate(keys), np.concatenate(owner), ths)
+
+
+def _shared_of(key: np.ndarray, owner: np.ndarray, ths: list[bytes]) -> Iterator[pa.RecordBatch]:
+    if not len(key):
+        return
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -247,7 +267,7 @@ def _shared_of(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     hit = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.r_[starts, len(key)])) & (owner >= 0)
     rows = []
     for i, k in _by_owner(owner[hit], key[hit]):
-        rows.append((0, name[i].tobytes(), _pack48(np.unique(k))))
+        rows.append((0, ths[i], _pack48(np.unique(k))))
         if len(rows) >= 5000:
             yield _rows(rows)
             rows = []
@@ -515,21 +535,21 @@ def _group_rows(texts: list[bytes], sizes: list[int], doc: list[np.ndarray], sta
     return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), places)], names=["bytes", "occurrences"])
 
 
-def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _texts(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (k, th, text): a null doc_id comes after all others, null text is empty; and the different texts
-    with their first k and their number of rows."""
+    with their first k and, with ``every``, their number of rows."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", digest(F.col("text")))
-    return rows, rows.groupBy("th").agg(F.min("k").alias("k"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    counts = [F.count(F.lit(1)).alias("copies")] if every else []
+    return rows, rows.groupBy("th").agg(F.min("k").alias("k"), F.first("text").alias("text"), *counts)
 
 
 def _pieces(rows: DataFrame, texts: DataFrame, every: bool = False) -> DataFrame:
     """Pieces by bucket, with what is removed already; with ``every``, the pieces of all rows and no more."""
     width = shuffle_width(rows.sparkSession)
-    told = texts.select("th", "text", "copies").mapInArrow(_tell_anchors(width * _parts(width), every), _ROWS_DDL)
-    told = told.repartition(width, "bucket").sortWithinPartitions("bucket")
-    shared = told.mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
+    told = texts.select("th", "text", "copies" if every else "k").mapInArrow(_tell_anchors(width, every), _ROWS_DDL)
+    shared = told.repartitionById(width, F.col("bucket")).mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
     cut = (rows if every else texts).join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK, every), _ROWS_DDL)
-    return cut.repartition(width, "bucket").sortWithinPartitions("bucket")
+    return cut.repartitionById(width, F.pmod("bucket", F.lit(width))).sortWithinPartitions("bucket")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -541,7 +561,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     repeat comes as a row of overlapping groups, which hold each of its 50-byte strings.  How rows are batched
     and dealt out makes no difference.  A row holds a group's occurrences, which one task gathers.
     """
-    rows, texts = _texts(docs)
+    rows, texts = _texts(docs, every=True)
     return _pieces(rows, texts, every=True).mapInArrow(_find_groups, "bytes binary, occurrences array<struct<doc_id:bigint,start:bigint>>")
 
 

@@ -139,7 +139,8 @@ def test_groups_are_whole(spark, monkeypatch, batch, stretch, parts):
     monkeypatch.setattr(substrings, "_STRETCH", stretch)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     # in a process of the test's own, where the sizes hold
-    rows_, texts = substrings._texts(df)
+    rows_, texts = substrings._texts(df, every=True)
+    monkeypatch.setattr(substrings, "ANCHORS_AT_A_TIME", batch // 100)
     run = lambda f, d: [r for b in f(iter(d.toArrow().to_batches())) for r in b.to_pylist()]
     told = run(substrings._tell_anchors(4, True), texts.select("th", "text", "copies"))
     keys = {}
@@ -186,6 +187,6 @@ def test_a_text_of_many_copies_tells_its_anchors_once(spark):
     rows = [(i, copied) for i in range(3000)] + [(5000 + i, f"{i} {copied[:90]}") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     _, texts = substrings._texts(df)
-    told = texts.select("th", "text", "copies").mapInArrow(substrings._tell_anchors(4), substrings._ROWS_DDL)
+    told = texts.select("th", "text", "k").mapInArrow(substrings._tell_anchors(4), substrings._ROWS_DDL)
     assert texts.count() == 6 and told.count() <= 6 * 5
     assert result(substrings.remove_repeats(df)) == brute(rows)
