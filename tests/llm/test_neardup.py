@@ -77,6 +77,23 @@ def test_groups_in_one_block_and_in_many(spark, meet, monkeypatch):
     assert got == want and len(set(want.values())) < 150
 
 
+def test_unlike_texts_of_one_large_bucket(spark, monkeypatch):
+    """Texts that only share a common phrase: rows grow with the texts, and what is alike is still found."""
+    monkeypatch.setattr(neardup, "MEET", 16)
+    rng = np.random.default_rng(6)
+    text = lambda i: " ".join(["for the terms see below"] * 5 + [f"u{i}x{j}" for j in range(30)])
+    rows = [(i, text(i)) for i in range(900)]
+    rows += [(1000 + j, " ".join(w if w != "u7x3" else f"z{j}" for w in text(7).split())) for j in range(3)]
+    rng.shuffle(rows)
+    rows = [(int(d), str(t)) for d, t in rows]
+    seen = []
+    real = neardup.second_groups
+    monkeypatch.setattr(neardup, "second_groups", lambda again: seen.append((again.count(), real(again).count())) or real(again))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert seen and all(after < 12 * before for before, after in seen)
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(2)
     words = [f"x{i}" for i in range(5000)]
@@ -140,7 +157,7 @@ def test_tied_and_null_ids(spark, parts):
     assert len(kept) == 7
     ids = {}
     named = neardup.classes(df)
-    texts = {r["th"]: r["text"] for r in df.selectExpr("xxhash64(text) as th", "text").collect()}
+    texts = {r["th"]: r["text"] for r in df.selectExpr("unhex(md5(text)) as th", "text").collect()}
     for r in named.collect():
         ids.setdefault(texts[r["th"]], set()).add(r["class_id"])
     of = lambda group: set().union(*[ids[t] for t in group])

@@ -12,7 +12,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tabulon.llm import fingerprint as fp
 from tabulon.llm import packing, queries, secrets
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -148,44 +147,6 @@ def test_secrets_odd(odd_docs, no_docs):
     assert {r["text"] for r in secrets.scan(odd_docs, redacted=True).collect()} == {r["text"] for r in odd_docs.collect()}
 
 
-def check_next(rows, docs):
-    order = sorted(docs, key=lambda r: -r["doc_id"])
-    rows = {r["doc_id"]: r for r in rows}
-    assert len(rows) == len(order)
-    for i, r in enumerate(order):
-        t, n = r["text"] or "", order[(i + 1) % len(order)]["text"] or ""
-        h = len(t) // 2
-        new = t[: len(t) - h] + n[:h]
-        got = rows[r["doc_id"]]
-        assert got["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and got["n_chars"] == len(t)
-        assert got["fingerprint"] == fp.fingerprint(t) and got["edited_fingerprint"] == fp.fingerprint(new)
-        assert got["near_next"] == fp.likeness(fp.fingerprint(t), fp.fingerprint(n)) and 0 <= got["near_edited"] <= 1
-
-
-def test_fingerprints_of_neighbours(spark, docs):
-    rows = queries.op4_fingerprint(spark, SF).collect()
-    check_next(rows, docs.collect())
-    long = [r for r in rows if r["n_chars"] > 600]
-    assert 0.35 < sum(r["near_edited"] for r in long) / len(long) < 0.65
-
-
-def test_fingerprints_odd(odd_docs, no_docs, docs):
-    assert fp.compare_with_next(odd_docs).count() == 9 and fp.compare_with_next(no_docs).count() == 0
-    one = fp.compare_with_next(docs.where("doc_id = 7")).collect()
-    check_next(one, docs.where("doc_id = 7").collect())
-    assert one[0]["near_next"] == 1.0
-
-
-def test_edits_are_located():
-    text = "".join(f"Sentence {i} says a little. It goes on, {i * 7}.\n" + "\n" * (i % 5 == 0) for i in range(60))
-    at = text.index("Sentence 31")
-    new = text[:at] + "Something else" + text[at + 11 :]
-    (a0, a1, b0, b1) = fp.locate_edits(fp.fingerprint(text), fp.fingerprint(new))[0]
-    assert a0 <= at < a1 and a1 - a0 < 200 and text[:a0] == new[:b0] and text[a1:] == new[b1:]
-    assert fp.locate_edits(fp.fingerprint(text), fp.fingerprint(text)) == []
-    assert fp.fingerprint(None) == fp.fingerprint("") != fp.fingerprint("\n")
-
-
 def test_word_encoder_over_generations(docs, monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 150)
     tok, enc = Tokenizer.from_file(PATH), packing.WordEncoder(open(PATH).read())
