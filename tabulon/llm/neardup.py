@@ -8,9 +8,13 @@ are candidates, and candidates are verified by their exact weighted Jaccard simi
 
 Buckets are compared in blocks of at most 512 texts: a task holds one block and the bucket's first text,
 compares what no link connects yet, and sends on only links that connect.  Components of the links are then
-labelled.  Buckets of several blocks whose texts are still apart are met a second time: those outside the
-component of the bucket's first text against all blocks.  So every two texts that share a band are compared
-or connected, no pairs are listed, and no bucket, however large, is held by one task.
+labelled.  Texts of buckets of several blocks that are still apart are dealt out a second time, by 36 further
+samples: unlike texts that share a common shingle part here, and like ones meet again.  Should a bucket of that
+deal be of several blocks and components too, all outside its largest component meet all its blocks.  So two texts that
+share a band of the first deal and, if that bucket is large, one of the second are compared or connected, no
+pairs are listed, and no bucket, however large, is held by one task.
+
+Texts are told apart by a 128-bit digest; between the steps they go by a number given once and written down.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import textkernel as tk
-from tabulon.llm.common import ensure_checkpoint_dir, shuffle_width
+from tabulon.llm.common import digest, ensure_checkpoint_dir, shuffle_width
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -33,6 +37,7 @@ BUCKETS = 1 << 18
 _BLOCK = 4096
 #: Texts of a bucket that meet in one task.
 MEET = 512
+_TOP = (1 << 63) - 1
 
 
 def shingles(t: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +125,12 @@ def _random_tables() -> tuple[np.ndarray, ...]:
     r = rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32) + np.float32(1e-6)
     log_c = np.log(rng.gamma(2.0, 1.0, 1 << 16) + 1e-12).astype(np.float32)
     beta = rng.random(1 << 16, dtype=np.float32)
-    return r, log_c, beta, (rng.integers(1 << 63, size=SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    return r, log_c, beta, (rng.integers(1 << 63, size=2 * SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def samples(h: np.ndarray, who: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
-    """(n, 36) of unsigned 32-bit sample ids; rows of texts without shingles are 0.
+def samples(h: np.ndarray, who: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int, deal: int = 0) -> np.ndarray:
+    """(n, 36) of unsigned 32-bit sample ids; rows of texts without shingles are 0.  Each ``deal`` (0 or 1) has
+    samples of its own.
 
     Of a shingle x of weight S and for each sample, r and c are gamma(2, 1) and beta is uniform, drawn from
     tables at an index hashed from x: t = floor(ln S / r + beta), ln y = r (t - beta), ln a = ln c - ln y - r;
@@ -140,7 +146,7 @@ def samples(h: np.ndarray, who: np.ndarray, count: np.ndarray, idf: np.ndarray,
     log_s = np.log(count.astype(np.float32) * idf[bucket_of(h)])
     mixed = tk.mix(h)
     for k in range(SAMPLES):
-        i = ((mixed * factors[k]) >> np.uint64(48)).astype(np.int64)
+        i = ((mixed * factors[deal * SAMPLES + k]) >> np.uint64(48)).astype(np.int64)
         rk = r[i]
         b = beta[i]
         t = np.floor(log_s / rk + b)
@@ -164,32 +170,49 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "th long, k long, n long, bands array<bigint>"
+def _bands(texts: list[str], idf: np.ndarray, deal: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(indices of texts with words, their band keys), a run of texts at a time."""
+    for at, run in tk.grouped(texts):
+        t = tk.Texts(run)
+        h, who, n = counted(t)
+        some = np.unique(who)
+        if len(some):
+            keys = band_keys(samples(h, who, n, idf, t.n, deal)[some])
+            yield some + at, pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+
+
+_SIGNED = "th binary, k long, n long, bands array<bigint>"
 
 
 def _sign(idf):
+    """Rows (k, th, text) -> for each different text of a batch its first k, its number of rows and its bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first: dict[int, tuple[int, str]] = {}
+            first: dict[bytes, tuple[int, str]] = {}
             rows = Counter(batch.column(1).to_pylist())
             for k, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if th not in first or k < first[th][0]:
                     first[th] = (k, text)
             ths, ks, texts = list(first), [k for k, _ in first.values()], [t for _, t in first.values()]
-            for at, run_ in tk.grouped(texts):
-                t = tk.Texts(run_)
-                h, who, n = counted(t)
-                some = np.unique(who)
-                if not len(some):
-                    continue
-                keys = band_keys(samples(h, who, n, idf.value, t.n)[some])
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64()))
-                columns = [pa.array([ths[at + i] for i in some], pa.int64()), pa.array([ks[at + i] for i in some], pa.int64()), pa.array([rows[ths[at + i]] for i in some], pa.int64()), bands]
+            for some, bands in _bands(texts, idf.value, 0):
+                columns = [pa.array([ths[i] for i in some], pa.binary()), pa.array([ks[i] for i in some], pa.int64()), pa.array([rows[ths[i]] for i in some], pa.int64()), bands]
                 yield pa.RecordBatch.from_arrays(columns, names=["th", "k", "n", "bands"])
 
     return run
 
 
+def _sign_again(idf):
+    """Rows (id, k, root, text) -> (id, k, root, bands) of the second deal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, bands in _bands(batch.column(3).to_pylist(), idf.value, 1):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some)) for c in range(3)), bands], names=["id", "k", "root", "bands"])
+
+    return run
+
+
 def weighted_jaccard(a: tuple, b: tuple, idf: np.ndarray) -> float:
     """Of two texts' (hashes, counts), hashes sorted."""
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -254,7 +277,7 @@ def link(sets: list[tuple[np.ndarray, np.ndarray]], roots: list[int], idf: np.nd
 
 
 def _compare(idf, similar: float):
-    """Rows (group, th, root, text), each group together -> links (a, b); a repeated text adds nothing."""
+    """Rows (group, id, root, text), each group together -> links (a, b); a repeated text adds nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, roots, sets = None, [], [], []
@@ -308,78 +331,111 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _blocks(column: str) -> Column:
+    return F.ceil(F.col(column) / MEET).cast("int")
+
+
+def _dealt(key: str, salt: str, into: str) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(salt)), F.col(into)).cast("int")
+
+
+def _same_once(buckets: DataFrame) -> DataFrame:
+    """Of the buckets that hold the same texts, by number, first text and sum of marks, one."""
+    rest = [c for c in buckets.columns if c not in ("n", "c", "set", "band")]
+    return buckets.groupBy("n", "c", "set").agg(F.min("band").alias("band"), *[F.min(c).alias(c) for c in rest])
+
+
+def _set() -> Column:
+    return F.sum(F.xxhash64("id", F.lit("set")).cast("decimal(20,0)")).alias("set")
+
+
+def second_groups(again: DataFrame) -> DataFrame:
+    """(group, first, k, id, root): who meets whom after the second deal, of ``again`` (id, k, root, bands).
+
+    A bucket of one block is a group.  In a larger one, those outside its largest component are dealt into turns,
+    and each turn meets all blocks: a text comes once for each turn or block, so the rows are the bucket's texts
+    times what is apart in it over 512.
+    """
+    member = again.select(F.explode("bands").alias("band"), "id", "k", "root")
+    buckets = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "id")).alias("c"), _set(), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    buckets = _same_once(buckets.where("n > 1 and r0 <> r1")).select("band", _blocks("n").alias("blocks"))
+    member = member.join(buckets, "band").checkpoint()
+    small = member.where("blocks = 1").select(F.xxhash64("band").alias("group"), F.lit(False).alias("first"), "k", "id", "root")
+    large = member.where("blocks > 1")
+    of_root = large.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = of_root.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), (F.sum("n") - F.max("n")).alias("n_apart")).select("band", "main", _blocks("n_apart").alias("turns"))
+    placed = large.join(main, "band").withColumn("apart", F.col("root") != F.col("main"))
+    placed = placed.withColumn("block", _dealt("id", "block", "blocks")).withColumn("turn", _dealt("id", "turn", "turns"))
+    asks = placed.where("apart").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.lit(True)).withColumnRenamed("turn", "t2")
+    told = placed.withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("b", F.col("block")).withColumn("first", F.lit(False))
+    told = told.where("not (apart and turn = t2)")
+    crossed = [x.select(F.xxhash64("band", "b", "t2").alias("group"), "first", "k", "id", "root") for x in (asks, told)]
+    return small.unionByName(crossed[0]).unionByName(crossed[1])
+
+
 def _text_classes(docs: DataFrame, similar: float) -> DataFrame:
-    """(t, k, class_k, class_t, class_n) of every different text with words: its hash, its first document, the
-    first document of its class, the least hash of that document's texts in the class, and the class's rows."""
+    """(t, k, class_k, class_t, class_n) of every different text with words: its digest, its first document, the
+    first document of its class, the least digest of that document's texts in the class, and the class's rows."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    top = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    top = F.lit(_TOP)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), top).alias("k"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", digest(F.col("text")))
     signed = rows.select("k", "th", "text").mapInArrow(_sign(idf), _SIGNED)
-    texts = signed.groupBy("th").agg(F.min("k").alias("k"), F.sum("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
-    member = texts.select(F.explode("bands").alias("band"), "th", "k")
-    mark = F.xxhash64("th", F.lit("set")).cast("decimal(20,0)")
-    buckets = member.groupBy("band").agg(F.min(F.struct("k", "th")).alias("c"), F.count(F.lit(1)).alias("n"), F.sum(mark).alias("set")).where("n > 1")
-    # bands that hold the same texts say the same
-    buckets = buckets.groupBy("n", "c", "set").agg(F.min("band").alias("band")).select("band", F.col("c.th").alias("cth"), F.ceil(F.col("n") / MEET).cast("int").alias("blocks"))
-    member = member.join(buckets, "band").withColumn("block", F.pmod(F.xxhash64("th", F.lit("block")), F.col("blocks")).cast("int")).checkpoint()
+    texts = signed.groupBy("th").agg(F.min("k").alias("k"), F.sum("n").alias("n"), F.first("bands").alias("bands"))
+    texts = texts.withColumn("id", F.monotonically_increasing_id()).checkpoint()  # numbers hold from here on, for what is written is read
+    member = texts.select(F.explode("bands").alias("band"), "id", "k")
+    buckets = member.groupBy("band").agg(F.min(F.struct("k", "id")).alias("c"), F.count(F.lit(1)).alias("n"), _set()).where("n > 1")
+    buckets = _same_once(buckets).select("band", F.col("c.id").alias("cid"), _blocks("n").alias("blocks"))
+    member = member.join(buckets, "band").withColumn("block", _dealt("id", "block", "blocks")).checkpoint()
 
-    asked = member.select(F.col("th").alias("t"), F.col("k").alias("k1")).distinct()
-    candidates = rows.join(asked, (F.col("th") == F.col("t")) & (F.col("k") == F.col("k1"))).select("th", "text").checkpoint()
+    asked = member.select("id").distinct().join(texts.select("id", F.col("th").alias("t"), F.col("k").alias("k1")), "id")
+    candidates = rows.join(asked, (F.col("th") == F.col("t")) & (F.col("k") == F.col("k1"))).select("id", "text").checkpoint()
 
     def met(groups: DataFrame) -> DataFrame:
-        """Links within the groups of (group, first, th, k, root)."""
-        dealt = groups.join(candidates, "th").select("group", "first", "k", "th", "root", "text")
-        dealt = dealt.repartition(shuffle_width(spark), "group").sortWithinPartitions("group", F.desc("first"), "k", "th")
-        return dealt.select("group", "th", "root", "text").mapInArrow(_compare(idf, similar), "a long, b long")
+        """Links within the groups of (group, first, id, k, root)."""
+        dealt = groups.join(candidates, "id").select("group", "first", "k", "id", "root", "text")
+        dealt = dealt.repartition(shuffle_width(spark), "group").sortWithinPartitions("group", F.desc("first"), "k", "id")
+        return dealt.select("group", "id", "root", "text").mapInArrow(_compare(idf, similar), "a long, b long")
 
-    is_first = F.col("th") == F.col("cth")
+    is_first = F.col("id") == F.col("cid")
     here = F.when(is_first, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    once = member.withColumn("b", F.explode(here)).select(F.xxhash64("band", "b").alias("group"), is_first.alias("first"), "th", "k", F.col("th").alias("root"))
+    once = member.withColumn("b", F.explode(here)).select(F.xxhash64("band", "b").alias("group"), is_first.alias("first"), "id", "k", F.col("id").alias("root"))
     links = met(once).distinct().checkpoint()
     root = components(links)
     large = member.where("blocks > 1")
     if not large.isEmpty():
-        placed = large.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-        main = placed.where("th = cth").select("band", F.col("root").alias("main"))
-        placed = placed.join(main, "band").withColumn("apart", F.col("root") != F.col("main")).checkpoint()
-        open_ = placed.groupBy("band").agg(F.count_if("apart").alias("n_apart")).where("n_apart > 0").select("band", F.ceil(F.col("n_apart") / MEET).cast("int").alias("turns"))
-        placed = placed.join(open_, "band").withColumn("turn", F.pmod(F.xxhash64("th", F.lit("turn")), F.col("turns")).cast("int"))
-        asks = placed.where("apart").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.lit(True)).withColumnRenamed("turn", "t2")
-        told = placed.withColumn("t2", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).withColumn("b", F.col("block")).withColumn("first", F.lit(False))
-        told = told.where("not (apart and turn = t2)")
-        both = [x.select(F.xxhash64("band", "b", "t2").alias("group"), "first", "th", "k", "root") for x in (asks, told)]
-        again = met(both[0].unionByName(both[1]))
+        placed = large.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        apart = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+        open_ = placed.join(apart, "band", "left_semi").select("id", "k", "root").distinct()
+        signed = open_.join(candidates, "id").select("id", "k", "root", "text").mapInArrow(_sign_again(idf), "id long, k long, root long, bands array<bigint>")
+        again = met(second_groups(signed.dropDuplicates(["id"]).checkpoint()))
         root = components(links.unionByName(again))
-    of_class = texts.join(root.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    of_class = texts.join(root.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = of_class.groupBy("root").agg(F.min(F.struct("k", "th")).alias("c"), F.sum("n").alias("class_n"))
     return of_class.join(first, "root").select(F.col("th").alias("t"), "k", F.col("c.k").alias("class_k"), F.col("c.th").alias("class_t"), "class_n")
 
 
-_TOP = (1 << 63) - 1
-
-
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, th, class_id``: a row for each document; ``class_id`` is the smallest doc_id of its class.
+    """``doc_id, th, class_id``: a row for each document, ``th`` being its text's digest; ``class_id`` is the smallest doc_id of its class.
 
     Equal texts are in one class, and so are texts linked by a chain of pairs of ``similar`` or more that
-    share a band (at 0.8 one in 5,000 pairs shares none).  Documents without words (null, empty, blank) are in
+    share a band (at 0.8 one in 5,000 pairs shares none; twice that for pairs that share large buckets only).  Documents without words (null, empty, blank) are in
     no class with others: their class_id is their own doc_id.  Null doc_ids count as larger than any other.
     Repeated rows share a class.  Where several documents of a class all have no doc_id, its class_id is a
     negative number from a hash of its own; a document alone without one has null.
     """
-    own_id = F.when(F.col("class_n") > 1, -F.shiftrightunsigned("class_t", 1) - 1)
+    own_id = F.when(F.col("class_n") > 1, -F.shiftrightunsigned(F.xxhash64("class_t"), 1) - 1)
     named = _text_classes(docs, similar).select("t", F.when(F.col("class_k") < _TOP, F.col("class_k")).otherwise(own_id).alias("named"))
-    own = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    own = docs.select("doc_id", digest(F.coalesce("text", F.lit(""))).alias("th"))
     return own.join(named, F.col("th") == F.col("t"), "left").select("doc_id", "th", F.when(F.col("t").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The documents with one of each class left: that of the smallest doc_id (of repeated rows, one; of several
-    texts with that doc_id, or of a class without any, that of the least hash)."""
+    texts with that doc_id, or of a class without any, that of the least digest)."""
     first = _text_classes(docs, similar).where("k = class_k and t = class_t").select(F.col("k").alias("__k"), F.col("t").alias("__th"), F.lit(True).alias("__first"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_TOP))).withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_TOP))).withColumn("__th", digest(F.coalesce("text", F.lit(""))))
     kept = kept.join(first, ["__k", "__th"], "left").where(F.col("__first") | ~worded)
     return kept.dropDuplicates(["__k", "__th"]).drop("__k", "__th", "__first")
