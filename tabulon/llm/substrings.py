@@ -4,7 +4,8 @@ A byte goes if a 50-byte string over it also starts in a document with a smaller
 all documents is built.  Every window of 50 bytes belongs to the least hash among its 16-byte grams, its
 anchor, which follows from the window alone, so equal windows meet under equal anchors:
 
-1. documents tell which anchors they have; anchors of a single text are done with;
+1. batches of documents tell which anchors they have, and learn which of them others have too; anchors of a
+   single text are done with;
 2. runs of windows under a shared anchor are cut out (84 bytes at most) and dealt out by it;
 3. each task builds the suffix array of the different pieces it got, with common-prefix lengths, scans the
    tree of common-prefix intervals with a stack, and outputs those whose left neighbours differ: the maximal
@@ -142,7 +143,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[l
             row[text_at] = row[text_at] or b""
             held.append(row)
             size += len(row[text_at])
-            if size >= BATCH_BYTES:
+            if size >= BATCH_BYTES or len(held) == _MOST:
                 yield [list(c) for c in zip(*held, strict=True)]
                 held, size = [], 0
     if held:
@@ -151,7 +152,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[l
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), ("data", pa.binary())])
 _ROWS_DDL = "bucket int, th binary, data binary"
-#: A text's digest, in an array; the most anchors that an entry for a text has.
+#: A text's digest, in an array; the most texts of a batch, and the most anchors of an entry for a text.
 _NAME = np.dtype("V16")
 _MOST = (1 << 16) - 1
 
@@ -173,16 +174,42 @@ def _by_owner(owner: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.n
             yield int(o[a]), v[a:b]
 
 
+#: What batches tell buckets (anchors), and what comes back to them: which anchors are shared, and their texts' names.
+_ANCHORS, _REPLY, _TEXTS = range(3)
+_TOLD = pa.schema([("bucket", pa.int32()), ("batch", pa.binary()), ("kind", pa.int32()), ("data", pa.binary())])
+_TOLD_DDL = "bucket int, batch binary, kind int, data binary"
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOLD, strict=True)], schema=_TOLD)
+
+
+def _pack_entries(owner: np.ndarray, keys: np.ndarray) -> bytes:
+    """Keys by their owner, the place of a text in its batch; owners are in order."""
+    who, counts = np.unique(owner, return_counts=True)
+    fits = -(-counts // _MOST)  # an owner of more keys has several entries
+    who, left = np.repeat(who, fits), np.full(fits.sum(), _MOST)
+    left[np.cumsum(fits) - 1] = counts - (fits - 1) * _MOST
+    return np.array([len(who)], "<u4").tobytes() + who.astype("<u2").tobytes() + left.astype("<u2").tobytes() + _pack48(keys)
+
+
+def _unpack_entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(owner of each key, keys); further keys have none (-1)."""
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    owner = np.repeat(np.frombuffer(data, "<u2", n, 4).astype(np.int64), np.frombuffer(data, "<u2", n, 4 + 2 * n))
+    keys = _unpack48(data[4 + 4 * n :])
+    return np.r_[owner, np.full(len(keys) - len(owner), -1)], keys
+
+
 def _tell_anchors(buckets: int, every: bool = False):
-    """(th, text, k), a th once -> for each bucket, which texts have which anchors; anchors that texts of the
-    batch share go back to these texts at once (th set) and to the bucket without their names.
+    """(th, k, text), a th once -> for each bucket, which texts of the batch have which anchors; anchors that texts
+    of the batch share come back to it at once, and go to the bucket without an owner.
 
-    With ``every``, rows are (th, text, copies), and anchors that a text has twice, or that a text of several
-    copies has, are shared too."""
+    A batch's name is a digest of its texts' names.  With ``every``, rows are (th, copies, text), and anchors that
+    a text has twice, or that a text of several copies has, are shared too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ths, texts, copies in _batches(batches, 1):
-            names = _names(ths)
+        for ths, copies, texts in _batches(batches, 2):
             value, doc, _, _ = anchor_runs(texts, every)
             order = np.lexsort((doc, value))
             value, doc = value[order], doc[order]
@@ -198,81 +225,78 @@ def _tell_anchors(buckets: int, every: bool = False):
             if every:
                 common |= np.add.reduceat(times * np.array(copies, np.int64)[doc], starts) > 1
             many = np.repeat(common, n)
-            rows = []
-            for i, keys in _by_owner(doc[many], value[many]):
-                rows.append((i % buckets, ths[i], _pack48(keys)))
+            names = b"".join(ths)
+            batch = hashlib.blake2b(names, digest_size=16).digest()
+            home = int.from_bytes(batch[:8], "little") % buckets
+            rows = [(home, batch, _TEXTS, names)]
+            back = np.argsort(doc[many], kind="stable")
+            rows.append((home, batch, _REPLY, _pack_entries(doc[many][back], value[many][back])))
             one, one_doc, shared = value[~many], doc[~many], value[starts[common]]
             to, to_shared = _bucket(one, buckets), _bucket(shared, buckets)
             order = np.lexsort((one_doc, to))
             one, one_doc, to = one[order], one_doc[order], to[order]
             for b in np.unique(np.r_[to, to_shared]):
                 lo, hi = np.searchsorted(to, b), np.searchsorted(to, b, side="right")
-                who, counts = np.unique(one_doc[lo:hi], return_counts=True)
-                mine = shared[to_shared == b]
-                fits = -(-counts // _MOST)  # a text of more anchors comes several times
-                who, left = np.repeat(who, fits), np.full(fits.sum(), _MOST)
-                left[np.cumsum(fits) - 1] = counts - (fits - 1) * _MOST
-                head = np.array([len(who), hi - lo], "<u4").tobytes()
-                rows.append((int(b), None, head + names[who].tobytes() + left.astype("<u2").tobytes() + _pack48(one[lo:hi]) + _pack48(mine)))
-            yield _rows(rows)
+                rows.append((int(b), batch, _ANCHORS, _pack_entries(one_doc[lo:hi], one[lo:hi]) + _pack48(shared[to_shared == b])))
+            yield _told(rows)
 
     return run
 
 
 def _share_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tells each text which of its anchors another text has: (th, keys).
+    """Tells each batch which of its texts' anchors other texts have.
 
     A task holds its anchors as they came, six bytes each, and looks through a range of them at a time.
     """
-    names: dict[bytes, int] = {}
-    blobs: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+    sent: list[tuple[bytes, bytes]] = []
     total = 0
-    for batch in batches:
+    for b in batches:
         passed = []
-        for bucket, th, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if th is not None:
-                passed.append((bucket, th, data))
-                continue
-            n_docs, n = (int(x) for x in np.frombuffer(data, "<u4", 2))
-            who = np.array([names.setdefault(data[i : i + 16], len(names)) for i in range(8, 8 + 16 * n_docs, 16)], np.int64)
-            at = 8 + 18 * n_docs
-            blobs.append((who, np.frombuffer(data, "<u2", n_docs, 8 + 16 * n_docs), data[at:]))
-            total += (len(data) - at) // 6
+        for bucket, batch, kind, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if kind == _ANCHORS:
+                sent.append((batch, data))
+                total += len(data) // 6
+            else:
+                passed.append((bucket, batch, kind, data))
         if passed:
-            yield _rows(passed)
-    ths = list(names)
-    names.clear()
+            yield _told(passed)
     slices = -(-total // ANCHORS_AT_A_TIME)
     for part in range(slices):
         lo, hi = (np.uint64((i << 48) // slices) for i in (part, part + 1))
-        keys, owner = [], []
-        for who, counts, data in blobs:
-            k = _unpack48(data)
-            o = np.full(len(k), -1)
-            mine = np.repeat(who, counts)
-            o[: len(mine)] = mine
+        keys, owners = [], []
+        for i, (_, data) in enumerate(sent):
+            o, k = _unpack_entries(data)
             here = (k >= lo) & (k < hi)
             keys.append(k[here])
-            owner.append(o[here])
-        yield from _shared_of(np.concatenate(keys), np.concatenate(owner), ths)
-
-
-def _shared_of(key: np.ndarray, owner: np.ndarray, ths: list[bytes]) -> Iterator[pa.RecordBatch]:
-    if not len(key):
-        return
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    differ = np.r_[False, (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])] | (owner < 0)
-    hit = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.r_[starts, len(key)])) & (owner >= 0)
-    rows = []
-    for i, k in _by_owner(owner[hit], key[hit]):
-        rows.append((0, ths[i], _pack48(np.unique(k))))
-        if len(rows) >= 5000:
-            yield _rows(rows)
-            rows = []
-    if rows:
-        yield _rows(rows)
+            owners.append(np.where(o >= 0, o + (i << 16), -1)[here])
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        del keys, owners
+        if not len(key):
+            continue
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        differ = np.r_[False, (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])] | (owner < 0)
+        hit = np.repeat(np.logical_or.reduceat(differ, starts), np.diff(np.r_[starts, len(key)])) & (owner >= 0)
+        if not hit.any():
+            continue
+        key, owner = key[hit], owner[hit]
+        order = np.argsort(owner, kind="stable")
+        key, owner = key[order], owner[order]
+        cuts = np.flatnonzero(np.r_[True, owner[1:] >> 16 != owner[:-1] >> 16])
+        rows = [(0, sent[owner[a] >> 16][0], _REPLY, _pack_entries(owner[a:e] & 0xFFFF, key[a:e])) for a, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owner)], strict=True)]
+        yield _told(rows)
+
+
+def _deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kinds, data) of all that came back to a batch -> (th, keys) of its texts with shared anchors."""
+    for b in batches:
+        for kinds, datas in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            names = datas[kinds.index(_TEXTS)]
+            owner, keys = (np.concatenate(x) for x in zip(*[_unpack_entries(d) for k, d in zip(kinds, datas, strict=True) if k == _REPLY], strict=True))
+            found = [(names[16 * i : 16 * i + 16], _pack48(np.unique(k))) for i, k in _by_owner(owner, keys)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["th", "keys"])
 
 
 def _cut_pieces(buckets: int, every: bool = False):
@@ -284,7 +308,7 @@ def _cut_pieces(buckets: int, every: bool = False):
             names = _names(ths)
             value, doc, start, n = anchor_runs(texts, every)
             mark = lambda d, k: k ^ ((d.astype(np.uint64) + np.uint64(1)) * _C1)
-            known = [_unpack48(b"".join(x)) for x in keys]
+            known = [_unpack48(x) for x in keys]
             table = np.sort(mark(np.repeat(np.arange(len(known)), [len(x) for x in known]), np.concatenate(known)))
             want = mark(doc, value & _LOW48)
             at = np.minimum(np.searchsorted(table, want), len(table) - 1)
@@ -546,8 +570,10 @@ def _texts(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
 def _pieces(rows: DataFrame, texts: DataFrame, every: bool = False) -> DataFrame:
     """Pieces by bucket, with what is removed already; with ``every``, the pieces of all rows and no more."""
     width = shuffle_width(rows.sparkSession)
-    told = texts.select("th", "text", "copies" if every else "k").mapInArrow(_tell_anchors(width, every), _ROWS_DDL)
-    shared = told.repartitionById(width, F.col("bucket")).mapInArrow(_share_anchors, _ROWS_DDL).groupBy("th").agg(F.collect_list("data").alias("keys"))
+    told = texts.select("th", "copies" if every else "k", "text").mapInArrow(_tell_anchors(width, every), _TOLD_DDL)
+    back = told.repartitionById(width, F.col("bucket")).mapInArrow(_share_anchors, _TOLD_DDL)
+    gathered = back.groupBy("batch").agg(F.collect_list(F.struct("kind", "data")).alias("x")).select("x.kind", "x.data")
+    shared = gathered.mapInArrow(_deliver, "th binary, keys binary")
     cut = (rows if every else texts).join(shared, "th").select("k", "th", "keys", "text").mapInArrow(_cut_pieces(width * ARRAYS_PER_TASK, every), _ROWS_DDL)
     return cut.repartitionById(width, F.pmod("bucket", F.lit(width))).sortWithinPartitions("bucket")
 

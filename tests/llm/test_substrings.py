@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,13 +143,15 @@ def test_groups_are_whole(spark, monkeypatch, batch, stretch, parts):
     rows_, texts = substrings._texts(df, every=True)
     monkeypatch.setattr(substrings, "ANCHORS_AT_A_TIME", batch // 100)
     run = lambda f, d: [r for b in f(iter(d.toArrow().to_batches())) for r in b.to_pylist()]
-    told = run(substrings._tell_anchors(4, True), texts.select("th", "text", "copies"))
-    keys = {}
+    told = run(substrings._tell_anchors(4, True), texts.select("th", "copies", "text"))
+    back = {}
     for b in range(4):
-        for m in substrings._share_anchors(iter([substrings._rows([tuple(r.values()) for r in told if r["bucket"] == b])])):
+        for m in substrings._share_anchors(iter([substrings._told([tuple(r.values()) for r in told if r["bucket"] == b])])):
             for r in m.to_pylist():
-                keys.setdefault(r["th"], []).append(r["data"])
-    cut = spark.createDataFrame([(r["k"], r["th"], keys[r["th"]], r["text"]) for r in rows_.collect() if r["th"] in keys], "k long, th binary, keys array<binary>, text string")
+                back.setdefault(r["batch"], []).append((r["kind"], r["data"]))
+    columns = [[[k for k, _ in x] for x in back.values()], [[d for _, d in x] for x in back.values()]]
+    keys = {r["th"]: r["keys"] for m in substrings._deliver(iter([pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.list_(pa.binary()))], names=["kind", "data"])])) for r in m.to_pylist()}
+    cut = spark.createDataFrame([(r["k"], r["th"], keys[r["th"]], r["text"]) for r in rows_.collect() if r["th"] in keys], "k long, th binary, keys binary, text string")
     pieces = sorted((tuple(r.values()) for r in run(substrings._cut_pieces(8, True), cut)), key=lambda r: r[0])
     local = [g for b in substrings._find_groups(iter([substrings._rows(pieces)])) for g in b.to_pylist()]
     want = brute_groups(rows)
@@ -187,6 +190,13 @@ def test_a_text_of_many_copies_tells_its_anchors_once(spark):
     rows = [(i, copied) for i in range(3000)] + [(5000 + i, f"{i} {copied[:90]}") for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     _, texts = substrings._texts(df)
-    told = texts.select("th", "text", "k").mapInArrow(substrings._tell_anchors(4), substrings._ROWS_DDL)
-    assert texts.count() == 6 and told.count() <= 6 * 5
+    told = texts.select("th", "k", "text").mapInArrow(substrings._tell_anchors(4), substrings._TOLD_DDL)
+    assert texts.count() == 6 and told.count() <= 6 * 6
     assert result(substrings.remove_repeats(df)) == brute(rows)
+
+
+def test_entries_of_many_keys():
+    owner = np.repeat([0, 3, 65534], [2, 200_000, 70_000])
+    keys = substrings.mix(np.arange(len(owner), dtype=np.uint64)) >> np.uint64(16)
+    o, k = substrings._unpack_entries(substrings._pack_entries(owner, keys) + substrings._pack48(keys[:3]))
+    assert (o == np.r_[owner, [-1] * 3]).all() and (k == np.r_[keys, keys[:3]]).all()
