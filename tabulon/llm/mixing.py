@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import md5_unit
+from tabulon.llm.common import md5_unit, without
 
 #: Means above this are drawn as a sum of independent Poisson counts of smaller mean, so that no
 #: distribution table has more than a few hundred entries.
@@ -52,8 +52,9 @@ def mix(docs: DataFrame, weights: dict[str, float], total: float | None = None,
     ``weights`` maps a source to its share; sources that are null or not listed share the weight of ``"*"``
     (0 where it isn't given).  ``total`` is the expected number of rows out, by default the number of rows
     in.  Copies of a document differ in (part, copy).  Rows with equal doc_id draw equal counts.  An empty
-    table gives an empty result; other columns pass through.
+    table gives an empty result; other columns pass through, but for those called as the three that are added.
     """
+    docs = without(docs, ["part", "copy", "shuffle_key"])
     rates = source_rates(docs, weights, total).select(F.col("stratum").alias("__s"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     joined = docs.withColumn("__s", _stratum(weights)).join(F.broadcast(rates), "__s")
     parts = joined.withColumn("part", F.explode(F.sequence(F.lit(1), "__parts")))

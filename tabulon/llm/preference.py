@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def turn_arrays(conversations: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order, as structs of role and text.
 
-    Turns of equal number are ordered by role, then text; null role or text counts as empty.
+    Turns of equal number are ordered by role, then text; null role or text counts as empty, a null conv_id is an
+    id like any other, and repeated rows are turns of their own.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -18,11 +19,13 @@ def turn_arrays(conversations: DataFrame) -> DataFrame:
 
 def swapped_reply_pairs(conversations: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): each conversation as chosen; as rejected, the same with its last assistant
-    turn replaced by that of its neighbour (conv_id with the lowest bit flipped), empty where there is none.
+    turn replaced by that of its neighbour (conv_id with the lowest bit flipped, also below 0), empty where there
+    is none.
 
-    A conversation without an assistant turn gets the neighbour's reply at its end.
+    A conversation without an assistant turn gets the neighbour's reply at its end; one without an id has no
+    neighbour; no conversations give no pairs.
     """
-    convs = turn_arrays(conversations).withColumn("pair", F.expr("conv_id div 2"))
+    convs = turn_arrays(conversations).withColumn("pair", F.shiftright("conv_id", 1))
     replies = F.filter("turns", lambda t: t["role"] == "assistant")
     convs = convs.withColumn("reply", F.coalesce(F.try_element_at(replies, F.lit(-1))["text"], F.lit("")))
     replaced = F.size("turns") - F.coalesce(F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant"), F.lit(0)) + 1

@@ -65,15 +65,16 @@ def with_shard(df: DataFrame, leaves: list[Leaf], key: list[str], out: str = "sh
     return df.withColumn(out, _descend(cols, "shard", _descend(cols, "rack", region, racks), shards).cast("int"))
 
 
-def with_slot(df: DataFrame, place: DataFrame, shard: str, key: str, order: list[str]) -> DataFrame:
-    """Adds ``slot``: gapless from 0 within each shard, without sorting a shard in one task.
+def with_slot(df: DataFrame, place: DataFrame, shard: str, order: list[str]) -> DataFrame:
+    """Adds ``slot``: gapless from 0 within each shard in some order, without sorting a shard in one task.
 
-    Rows of a shard are cut by a hash of ``key`` into as many cells as the session has shuffle partitions;
-    ``place`` (the same rows, without the payload) gives the cell sizes, whose running sums are the cells'
-    offsets: shards x partitions rows at most, which bounds the broadcast.
+    Rows of a shard are cut by a hash of the ``order`` columns into as many cells as the session has shuffle
+    partitions, so that only rows equal in all of these must share one; ``place`` (the same rows, without the
+    payload) gives the cell sizes, whose running sums are the cells' offsets: shards x partitions rows at most,
+    which bounds the broadcast.
     """
     cells = shuffle_width(df.sparkSession)
-    cell = F.pmod(F.xxhash64(key, F.lit("cell")), F.lit(cells)).cast("int")
+    cell = F.pmod(F.xxhash64(*order, F.lit("cell")), F.lit(cells)).cast("int")
     sizes = place.withColumn("__cell", cell).groupBy(F.col(shard).alias("__shard"), F.col("__cell").alias("__c")).count()
     before = Window.partitionBy("__shard").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -90,9 +91,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     an empty result; further columns are ignored.
     """
     leaves = topology(n_shards)
-    ids = docs.select("doc_id")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = with_shard(with_shard(rows, leaves, ["doc_id"]), grow(leaves), ["doc_id"], "grown_shard")
-    slotted = with_slot(rows, with_shard(ids, leaves, ["doc_id"]), "shard", "doc_id", ["doc_id", "size", "text_crc32"])
+    rows = with_shard(rows, leaves, ["doc_id"])
+    slotted = with_slot(with_shard(rows, grow(leaves), ["doc_id"], "grown_shard"), rows, "shard", ["doc_id", "size", "text_crc32"])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -46,10 +46,38 @@ def test_run(spark):
     assert rows and len({r["sequence_id"] for r in rows}) == len(rows)
 
 
+def test_run_leaves_one_folder(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert corpus_pipeline.run(spark, SF).count() > 0
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert [p.name for p in tmp_path.glob("pipeline-*/*")] == ["mix_sources"]
+
+
 def test_stages_on_odd_rows(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).collect()
+    by_name = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted(map(str, df.select(*DOCUMENT_COLUMNS).collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SF).collect() == []
+        assert name == "pack_sequences" or stage(spark, odd_docs, SF).columns == DOCUMENT_COLUMNS
+    long_words = "word " * 30_000
+    kept = by_name["quality_rules"](spark, odd_docs, SF).collect()
+    assert kept == []  # too few words, or windows repeated throughout
+    near = by_name["near_dedup"](spark, odd_docs, SF)
+    assert plain(near) == plain(odd_docs.distinct())
+    assert plain(by_name["secret_scans"](spark, odd_docs, SF)) == plain(odd_docs)
+    keys = odd_docs.selectExpr("doc_id", "concat(text, ' token=abcdef1234') text", "lang", "source", "n_chars")
+    for r in by_name["secret_scans"](spark, keys, SF).collect():
+        assert r["text"] is None or ("abcdef1234" not in r["text"] and r["n_chars"] == len(r["text"]))
+    mixed = by_name["mix_sources"](spark, odd_docs, SF).collect()
+    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in odd_docs.collect()}
+    assert all(r["text"] is None or len(r["text"]) < 10_000 or r["text"] == long_words for r in mixed)
+    packed = by_name["pack_sequences"](spark, odd_docs, SF).collect()
+    texts = {}
+    for r in odd_docs.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    check_packing(packed, texts)
 
 
 def test_mixing_means(spark):

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -142,6 +144,76 @@ def test_entropy_finds_keys_and_leaves_words():
     assert key not in secrets.redact(text, secrets.find(text)) and "abcdefgh1" not in secrets.redact(text, secrets.find(text))
 
 
+_ALPHABETS = {"base64": (string.ascii_letters + string.digits + "+/", 40), "hex": ("0123456789abcdef", 32), "alnum": (string.ascii_letters + string.digits, 20), "letters": (string.ascii_letters, 40)}
+
+
+@pytest.mark.parametrize("kind,least", [("base64", 0.99), ("hex", 0.99), ("alnum", 0.95), ("letters", 0.95), ("dotted", 0.97)])
+def test_recall_of_planted_keys(kind, least):
+    rng = random.Random(4)
+    key = (lambda: ".".join("".join(rng.choices(_ALPHABETS["alnum"][0], k=16)) for _ in range(3))) if kind == "dotted" else (lambda: "".join(rng.choices(_ALPHABETS[kind][0], k=_ALPHABETS[kind][1])))
+    found = 0
+    for _ in range(2000):
+        k = key()
+        text = f"some words before {k} and after."
+        covered = set().union(*[range(a, b) for _, a, b in secrets.find(text)], set())
+        found += len(covered & set(range(18, 18 + len(k)))) >= 0.9 * len(k)
+    assert found >= least * 2000
+
+
+def test_names_and_prose_are_left_alone(docs):
+    for text in ["getElementByIdFromDocumentRoot HTTPServerConnectionFactory", "https://www.site3.example.org/en/12345/some-page_name.html", "com.example.application.settings.WindowManager", "version-2.10.300.release-candidate", "Donaudampfschifffahrtsgesellschaft internationalization.configuration.management", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"]:
+        assert not secrets.find(text), text
+    prose = [r["text"] for r in docs.where("not text rlike '[0-9]'").collect()]
+    assert len(prose) > 20 and not any(secrets.find(t) for t in prose)
+
+
+def brute_entropy(text):
+    """Candidates, allow-list and windows of the method, recounted with a counter a window."""
+    base = [(int(a), int(b)) for _, a, b in (s.split(":") for s in brute_base(text))]
+    out = []
+
+    def wild(p):
+        humps = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]", p)
+        return len(humps) > 3 and sum(map(len, humps)) / len(humps) < 3.7
+
+    def scan(start, word, least):
+        flags = [False] * len(word)
+        for i in range(len(word) - 19):
+            c = Counter(word[i : i + 20])
+            if -sum(n / 20 * math.log2(n / 20) for n in c.values()) >= least - 1e-9:
+                flags[i : i + 20] = [True] * 20
+        spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[f] for f in flags))]
+        for a, b in spans:
+            p, a, b = word[a:b], a + start, b + start
+            if (re.search("[0-9]", p) and re.search("[A-Za-z]", p) or wild(p)) and not any(s <= a and b <= e for s, e in base):
+                out.append(f"entropy:{a}:{b}")
+                if "." in word:
+                    base.append((a, b))
+
+    for m in re.finditer(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})+(?![A-Za-z0-9_-])", text):
+        if not all(re.fullmatch(r"([A-Za-z]*[0-9]{0,8}[-_])*[A-Za-z]*[0-9]{0,8}", p) and not wild(p) for p in m[0].split(".")):
+            scan(m.start(), m[0], 3.4)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        w = m[0]
+        if w.isalpha() and not wild(w) or not w.isalpha() and any(p.fullmatch(w) for p in secrets.ALLOW):
+            continue
+        scan(m.start(), w, 3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.4)
+    return sorted(out)
+
+
+def test_entropy_spans_against_brute_force(docs):
+    rng = random.Random(7)
+    texts = [r["text"] or "" for r in docs.collect()]
+    texts += [" ".join("".join(rng.choices("aB3f0-_/.=Zq", k=rng.randint(5, 60))) for _ in range(12)) for _ in range(200)]
+    for t in texts:
+        assert sorted(f"{k}:{a}:{b}" for k, a, b in secrets.find(t) if k == "entropy") == brute_entropy(t)
+
+
+def test_clashing_spans_and_odd_field_names(odd_docs):
+    got = secrets.scan(odd_docs.selectExpr("*", "1 as Spans", "named_struct('a b', 1) as s"))
+    assert got.columns == [*odd_docs.columns, "s", "spans"] and got.first()["s"][0] == 1
+
+
 def test_secrets_odd(odd_docs, no_docs):
     assert secrets.scan(odd_docs).count() == 9 and secrets.scan(no_docs).count() == 0
     assert {r["text"] for r in secrets.scan(odd_docs, redacted=True).collect()} == {r["text"] for r in odd_docs.collect()}
