@@ -125,10 +125,14 @@ def _trimmean(x: Column, part: V) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, not at every use of it within a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _avedev(x: Column) -> Column:
     values = F.collect_list(x)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + F.abs(v - mean)) / F.size(values))
+    return F.when(F.count(x) > 0, _let(F.avg(x), lambda m: F.aggregate(values, F.lit(0.0), lambda s, v: s + F.abs(v - m))) / F.count(x))
 
 
 def _positive(f: Callable[[Column], Column]):
@@ -190,14 +194,13 @@ def xnpv(rate: float, value: V, dates: V) -> Column:
     """Discounted by days since the first date over 365."""
     d = serial(dates.col) if dates.kind != NUM else dates.col
     pairs = F.array_sort(F.collect_list(F.struct(d.alias("d"), number(value).alias("v"))))
-    first = F.element_at(pairs, 1)["d"]
-    return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["v"] / F.pow(F.lit(1 + rate), (p["d"] - first) / 365.0))
+    return _let(F.min(d), lambda first: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["v"] / F.pow(F.lit(1 + rate), (p["d"] - first) / 365.0)))
 
 
-def _solver(f: Callable):
+def _solver(f: Callable, guess: float = 0.1):
     def solve(row) -> float | None:
         try:
-            return f(*[[float(x) for x in a] for a in row])
+            return f(*[[float(x) for x in a] for a in row], guess)
         except ArithmeticError:
             return None
 
@@ -210,13 +213,14 @@ def _solver(f: Callable):
     return run
 
 
-irr = lambda value, key: _solver(special.irr)(_ordered(value, key))
+def irr(value: V, key: Column, guess: float = 0.1) -> Column:
+    return _solver(special.irr, guess)(_ordered(value, key))
 
 
-def xirr(value: V, dates: V) -> Column:
+def xirr(value: V, dates: V, guess: float = 0.1) -> Column:
     d = serial(dates.col) if dates.kind != NUM else dates.col
     pairs = F.array_sort(F.collect_list(F.struct(d.alias("d"), number(value).alias("v"))))
-    return _solver(special.xirr)(F.transform(pairs, lambda p: p["v"]), F.transform(pairs, lambda p: p["d"]))
+    return _solver(special.xirr, guess)(F.transform(pairs, lambda p: p["v"]), F.transform(pairs, lambda p: p["d"]))
 
 
 def mirr(value: V, key: Column, finance: float, reinvest: float) -> Column:
@@ -224,13 +228,23 @@ def mirr(value: V, key: Column, finance: float, reinvest: float) -> Column:
     v = _ordered(value, key)
     part = lambda r, sign: F.aggregate(F.transform(v, lambda x, i: F.when(x * sign > 0, x / F.pow(F.lit(1 + r), i.cast("double"))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
     n = F.size(v)
-    return F.pow(F.try_divide(-part(reinvest, 1) * F.pow(F.lit(1 + reinvest), n - 1), part(finance, -1) * (1 + finance)), 1.0 / (n - 1)) - 1
+    return F.pow(F.try_divide(-part(reinvest, 1) * F.pow(F.lit(1 + reinvest), n - 1), part(finance, -1) * (1 + finance)), F.try_divide(F.lit(1.0), n - 1)) - 1
 
 
 def seriessum(x: Column, n: float, m: float, coefficient: V, key: Column) -> Column:
     return F.aggregate(F.transform(_ordered(coefficient, key), lambda c, i: c * F.pow(x, F.lit(float(n)) + i * F.lit(float(m)))), F.lit(0.0), lambda s, v: s + v)
 
 
+_guess = lambda g: 0.1 if g is None else float(g.literal)
+#: Functions that also take, first, the key that puts the rows in order.
+ORDERED = ("NPV", "XNPV", "IRR", "XIRR", "MIRR", "SERIESSUM")
+AGGREGATES |= {
+    "NPV": lambda key, rate, value: _out(npv(rate.literal, value, key), NUM_ERROR), "XNPV": lambda key, rate, value, dates: _out(xnpv(rate.literal, value, dates), NUM_ERROR),
+    "IRR": lambda key, value, guess=None: _out(irr(value, key, _guess(guess)), NUM_ERROR), "XIRR": lambda key, value, dates, guess=None: _out(xirr(value, dates, _guess(guess)), NUM_ERROR),
+    "MIRR": lambda key, value, finance, reinvest: _out(mirr(value, key, finance.literal, reinvest.literal), NUM_ERROR), "SERIESSUM": lambda key, x, n, m, value: _out(seriessum(F.lit(x.literal), n.literal, m.literal, value, key), NUM_ERROR),
+}
+
+
 # Tests
 
 
@@ -239,25 +253,26 @@ def _tail(f: Callable, n: int):
 
 
 AGGREGATES |= {
-    "Z.TEST": lambda a, x, s=None: _out(_tail(lambda z: 1 - special._N.cdf(z), 1)((F.avg(number(a)) - x.literal) / ((F.stddev_samp(number(a)) if s is None else F.lit(s.literal)) / F.sqrt(F.count(number(a))))), NUM_ERROR),
-    "F.TEST": lambda a, b: _out(_tail(lambda va, vb, na, nb: 2 * min(p := special.f_cdf(va / vb, na - 1, nb - 1), 1 - p), 4)(F.var_samp(number(a)), F.var_samp(number(b)), F.count(number(a)).cast("double"), F.count(number(b)).cast("double")), NUM_ERROR),
-    "CHISQ.TEST": lambda a, e: _out(_tail(lambda x, n: 1 - special.gamma_p((n - 1) / 2, x / 2), 2)(F.sum(F.try_divide(F.pow(number(a) - number(e), 2), number(e))), F.count(number(a)).cast("double")), NUM_ERROR),
+    "Z.TEST": lambda a, x, s=None: _out(_tail(lambda z: 1 - special._N.cdf(z), 1)(F.try_divide(F.avg(number(a)) - x.literal, (F.stddev_samp(number(a)) if s is None else F.lit(s.literal)) / F.sqrt(F.nullif(F.count(number(a)), F.lit(0))))), NUM_ERROR),
+    "F.TEST": lambda a, b: _out(_tail(lambda va, vb, na, nb: 2 * min(p := special.f_cdf(va / vb, na - 1, nb - 1), 1 - p), 4)(F.var_samp(number(a)), F.nullif(F.var_samp(number(b)), F.lit(0.0)), F.count(number(a)).cast("double"), F.count(number(b)).cast("double")), NUM_ERROR),
+    "CHISQ.TEST": lambda a, e: _out(_tail(lambda x, n: 1 - special.gamma_p((n - 1) / 2, x / 2), 2)(F.when(F.count_if(F.coalesce(number(e), F.lit(0.0)) == 0) == 0, F.sum(F.try_divide(F.pow(F.coalesce(number(a), F.lit(0.0)) - number(e), 2), number(e)))), F.count(number(a)).cast("double")), NUM_ERROR),
 }
 
 
 @aggregate("T.TEST", "TTEST")
 def t_test(a: V, b: V, tails: V, kind: V) -> V:
     x, y, k = number(a), number(b), int(kind.literal)
+    q = F.try_divide
     na, nb, va, vb = F.count(x).cast("double"), F.count(y).cast("double"), F.var_samp(x), F.var_samp(y)
     if k == 1:
         d = F.when(x.isNotNull() & y.isNotNull(), x - y)
-        t, v = F.avg(d) / (F.stddev_samp(d) / F.sqrt(F.count(d))), F.count(d).cast("double") - 1
+        t, v = q(F.avg(d), q(F.stddev_samp(d), F.sqrt(F.count(d)))), F.count(d).cast("double") - 1
     elif k == 2:
-        pooled = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
-        t, v = (F.avg(x) - F.avg(y)) / F.sqrt(pooled * (1 / na + 1 / nb)), na + nb - 2
+        pooled = q((na - 1) * va + (nb - 1) * vb, na + nb - 2)
+        t, v = q(F.avg(x) - F.avg(y), F.sqrt(pooled * (q(F.lit(1.0), na) + q(F.lit(1.0), nb)))), na + nb - 2
     else:
-        t = (F.avg(x) - F.avg(y)) / F.sqrt(va / na + vb / nb)
-        v = F.pow(va / na + vb / nb, 2) / (F.pow(va / na, 2) / (na - 1) + F.pow(vb / nb, 2) / (nb - 1))
+        t = q(F.avg(x) - F.avg(y), F.sqrt(q(va, na) + q(vb, nb)))
+        v = q(F.pow(q(va, na) + q(vb, nb), 2), q(F.pow(q(va, na), 2), na - 1) + q(F.pow(q(vb, nb), 2), nb - 1))
     return _out(_tail(lambda t, v: 1 - special.t_cdf(abs(t), v), 2)(t, v) * tails.literal, NUM_ERROR)
 
 

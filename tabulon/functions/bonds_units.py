@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
 from tabulon.functions import special
-from tabulon.functions.scalar import SCALARS, day, dated, numeric
-from tabulon.functions.values import NA, NUM, V, first_error, number, number_arg
+from tabulon.functions.scalar import SCALARS, dated, day, folded, numeric
+from tabulon.functions.values import NA, NUM, TEXT, V, first_error, number, number_arg
 
 #: Units by kind, as multiples of the first of each kind.
 UNITS = {
@@ -83,10 +84,48 @@ def _solve(f, *args):
     return special.udf(f, "double", len(args))(*args)
 
 
+def _date(v: V) -> date | None:
+    for mask in ("%Y-%m-%d", "%m/%d/%Y"):
+        try:
+            return datetime.strptime(str(v.literal), mask).date()
+        except ValueError:
+            continue
+    return None
+
+
+def _bond(f, n: int):
+    """A function of two dates, n numbers and a basis, through f of (days, numbers, year); once on the driver where
+    all are literals."""
+
+    def run(settlement: V, maturity: V, *rest: V) -> V:
+        numbers, year = rest[:n], _year(rest[n] if len(rest) > n else None)
+        a, b = (_date(v) if v.kind == TEXT and v.literal is not None else None for v in (settlement, maturity))
+        if a and b and all(isinstance(x.literal, float) for x in numbers):
+            return folded(f, float((b - a).days), *[x.literal for x in numbers], year)
+        return dated(lambda *_: _solve(f, _days(settlement, maturity), *map(number, numbers), F.lit(year)))(settlement, maturity, *numbers)
+
+    run.arity = (2 + n, 3 + n)
+    return run
+
+
+def _declining(cost, salvage, life, start, end, factor=None, no_switch=None):
+    """:func:`declining` as a fold over the periods."""
+    factor, no_switch = (F.lit(x) if c is None else c for x, c in ((2.0, factor), (0.0, no_switch)))
+
+    def each(a, i):
+        step = F.least(a["book"] * factor / life, a["book"] - salvage)
+        step = F.when(no_switch != 0, step).otherwise(F.greatest(step, (a["book"] - salvage) / (life - (i - 1))))
+        step = F.greatest(step, F.lit(0.0))
+        share = F.greatest(F.lit(0.0), F.least(end, i.cast("double")) - F.greatest(start, (i - 1).cast("double")))
+        return F.struct((a["book"] - step).alias("book"), (a["total"] + step * share).alias("total"))
+
+    right = (cost >= 0) & (life > 0) & (start >= 0) & (end >= start) & (end <= life) & (factor > 0)
+    periods = F.when(right & (end > 0), F.sequence(F.lit(1), F.ceil(end).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(right, F.aggregate(periods, F.struct(cost.alias("book"), F.lit(0.0).alias("total")), each, lambda a: a["total"]))
+
+
 SCALARS |= {
     "CONVERT": convert,
-    "YIELD": dated(lambda s, m, r, p, red, q, b=None: _solve(bond_yield, _days(s, m), number(r), number(p), number(red), number(q), F.lit(_year(b)))),
-    "DURATION": dated(lambda s, m, r, y, q, b=None: _solve(duration, _days(s, m), number(r), number(y), number(q), F.lit(_year(b)))),
+    "YIELD": _bond(bond_yield, 4), "DURATION": _bond(duration, 3), "VDB": numeric(_declining, flags=True),
     "YIELDMAT": dated(lambda s, m, i, r, p, b=None: ((1 + _days(i, m) / _year(b, (1, 3)) * number(r)) * 100 / (number(p) + 100 * _days(i, s) / _year(b, (1, 3)) * number(r)) - 1) / (_days(s, m) / _year(b, (1, 3)))),
-    "VDB": numeric(lambda *a: _solve(declining, *a)),
 }

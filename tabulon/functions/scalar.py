@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +27,14 @@ def scalar(*names: str):
     return register
 
 
-def numeric(f: Callable[..., Column], bad: str = NUM_ERROR) -> Callable[..., V]:
+def numeric(f: Callable[..., Column], bad: str = NUM_ERROR, strict: bool = False, flags: bool = False) -> Callable[..., V]:
+    """``strict``: f gives null where any argument is null; ``flags``: booleans count as 0 and 1."""
+
+    @wraps(f)
     def run(*args: V) -> V:
-        n = [number_arg(a) for a in args]
+        n = [number_arg(V(a.col.cast("double"), NUM, a.err) if flags and a.kind == BOOL else a) for a in args]
         out = f(*[a.col for a in n])
-        return V(out, NUM, first_error(*[a.err for a in n], F.when(out.isNull(), F.lit(bad))))
+        return V(out, NUM, first_error(*[a.err for a in n], F.when(out.isNull(), F.lit(bad))), strict=strict)
 
     return run
 
@@ -174,17 +178,34 @@ _FINANCE: dict[str, Callable[..., Column]] = {
     "ISPMT": lambda r, per, n, pv: F.when(n != 0, -pv * r * (1 - F.try_divide(per, n))), "SLN": lambda c, s, n: F.try_divide(c - s, n), "SYD": lambda c, s, n, p: F.when((n > 0) & (p >= 1) & (p <= n), (c - s) * (n - p + 1) * 2 / (n * (n + 1))),
     "DB": _db, "DDB": _ddb, "DOLLARDE": _dollar(True), "DOLLARFR": _dollar(False),
 }
+#: Functions whose result is null where an argument is.
+_STRICT = set("ABS INT ROUND ROUNDDOWN ROUNDUP TRUNC FLOOR CEILING FLOOR.PRECISE CEILING.PRECISE ISO.CEILING MOD MROUND QUOTIENT EVEN ODD SIGN POWER SQRT SQRTPI EXP BITAND BITOR BITXOR BITLSHIFT BITRSHIFT".split())
+_STRICT |= set("SIN COS TAN COT CSC SEC ASIN ACOS ATAN ATAN2 ACOT ACOTH SINH COSH TANH CSCH SECH COTH ASINH ACOSH ATANH RADIANS DEGREES PERMUTATIONA PHI FISHER FISHERINV STANDARDIZE RRI NOMINAL EFFECT ISPMT SYD PDURATION".split())
+#: Functions that take TRUE and FALSE among their numbers.
+_FLAGS = {"EXPON.DIST", "EXPONDIST", "WEIBULL.DIST", "WEIBULL", "FLOOR.MATH", "CEILING.MATH"}
 for _table in (_MATH, _FINANCE):
-    SCALARS.update({k: numeric(f) for k, f in _table.items()})
+    SCALARS.update({k: numeric(f, strict=k in _STRICT, flags=k in _FLAGS) for k, f in _table.items()})
 SCALARS["SLN"] = numeric(_FINANCE["SLN"], DIV_ERROR)
 
 
+def folded(f: Callable, *args) -> V:
+    """The value of a function of literals."""
+    try:
+        out = f(*args)
+    except (ArithmeticError, ValueError):
+        out = None
+    return error(NUM_ERROR) if out is None else lit(out)
+
+
 def _by_udf(name: str):
     f, least = special.NUMERIC[name]
 
+    @wraps(f)
     def run(*args: V) -> V:
         if len(args) < least:
-            raise ValueError(f"{name} takes {least} arguments or more")
+            return error(VALUE_ERROR)
+        if all(isinstance(a.literal, (float, bool)) for a in args):  # once, on the driver
+            return folded(f, *[float(a.literal) for a in args])
         n = [number_arg(a) if a.kind != BOOL else V(a.col.cast("double"), NUM, a.err) for a in args]
         out = special.udf(f, "double", len(n))(*[F.when(a.err.isNull(), a.col) if a.err is not None else a.col for a in n])
         return V(out, NUM, first_error(*[a.err for a in n], F.when(out.isNull(), F.lit(NUM_ERROR))))
@@ -199,7 +220,10 @@ SCALARS.update({k: SCALARS[v] for k, v in special.ALIASES.items()})
 def _complex(name: str):
     f, kind = special.COMPLEX[name]
 
+    @wraps(f)
     def run(*args: V) -> V:
+        if all(isinstance(a.literal, str) for a in args):
+            return folded(f, *[a.literal for a in args])
         out = special.udf(f, kind, len(args))(*[text(a) for a in args])
         return V(out, NUM if kind == "double" else TEXT, first_error(*[a.err for a in args], F.when(out.isNull(), F.lit(NUM_ERROR))))
 
@@ -253,11 +277,15 @@ def _from_dec(kind: str):
     return run
 
 
+def _rebased(a: str, b: str):
+    return lambda x, places=None: _from_dec(b)(_to_dec(a)(x), *([] if places is None else [places]))
+
+
 for _a in _BASES:
     SCALARS[f"{_a}2DEC"], SCALARS[f"DEC2{_a}"] = _to_dec(_a), _from_dec(_a)
     for _b in _BASES:
         if _a != _b:
-            SCALARS[f"{_a}2{_b}"] = lambda x, places=None, a=_a, b=_b: _from_dec(b)(_to_dec(a)(x), *([] if places is None else [places]))
+            SCALARS[f"{_a}2{_b}"] = _rebased(_a, _b)
 
 
 @scalar("DECIMAL")
@@ -393,6 +421,7 @@ def choose(i: V, *values: V) -> V:
 
 
 def textual(f: Callable[..., Column], kind: str = TEXT):
+    @wraps(f)
     def run(*args: V) -> V:
         return V(f(*args), kind, first_error(*[a.err for a in args]))
 
@@ -474,6 +503,7 @@ def _proper(s: V) -> Column:
 def _bytes(f: Callable[..., str]) -> Callable[..., V]:
     """Functions that count double-width characters (above U+00FF) as two."""
 
+    @wraps(f)
     def run(*args: V) -> V:
         out = special.udf(f, "string", len(args))(*[text(a) if a.kind == TEXT else number(a) for a in args])
         return V(out, TEXT, first_error(*[a.err for a in args], F.when(out.isNull(), F.lit(VALUE_ERROR))))
@@ -515,6 +545,7 @@ def _find_bytes(fold: bool):
         at = b.find(a, skip) if a else -1
         return None if at < 0 else float(sum(map(width, b[:at])) + 1)
 
+    @wraps(find)
     def run(*args: V) -> V:
         out = special.udf(find, "double", len(args))(*[text(a) if a.kind == TEXT else number(a) for a in args])
         return V(out, NUM, first_error(*[a.err for a in args], F.when(out.isNull(), F.lit(VALUE_ERROR))))
@@ -588,6 +619,7 @@ def day(v: V) -> Column:
 
 
 def dated(f: Callable[..., Column], kind: str = NUM):
+    @wraps(f)
     def run(*args: V) -> V:
         out = f(*args)
         return V(out if kind == DATE else out.cast("double"), kind, first_error(*[a.err for a in args], F.when(out.isNull(), F.lit(VALUE_ERROR))))
@@ -692,6 +724,7 @@ def _weeknum(v: V, kind: V | None = None) -> Column:
 
 _HMS = lambda h, m, s: F.when(h.between(0, 23) & m.between(0, 59) & s.between(0, 59), (h * 3600 + m * 60 + s) / 86400.0)
 SCALARS |= {
+    "RAND": lambda: V(F.rand(), NUM), "RANDBETWEEN": numeric(lambda lo, hi: F.when(F.ceil(lo) <= F.floor(hi), F.ceil(lo) + F.floor(F.rand() * (F.floor(hi) - F.ceil(lo) + 1)))),
     "TODAY": lambda: V(F.current_date(), DATE), "NOW": lambda: V(F.current_timestamp(), DATE), "DATE": dated(_date, DATE), "TIME": dated(lambda h, m, s: _HMS(_int(h), _int(m), _int(s))), "DATEVALUE": dated(lambda x: serial(day(x))), "TIMEVALUE": dated(_timevalue),
     "YEAR": dated(lambda x: F.year(day(x))), "MONTH": dated(lambda x: F.month(day(x))), "DAY": dated(lambda x: F.dayofmonth(day(x))), "HOUR": dated(lambda x: F.floor(_time(x) / 3600)), "MINUTE": dated(lambda x: F.floor(F.pmod(_time(x), F.lit(3600)) / 60)), "SECOND": dated(lambda x: F.pmod(_time(x), F.lit(60))),
     "WEEKDAY": dated(lambda x, k=None: {1: F.dayofweek(day(x)), 2: F.weekday(day(x)) + 1, 3: F.weekday(day(x))}[1 if k is None else int(k.literal)]), "WEEKNUM": dated(_weeknum), "ISOWEEKNUM": dated(lambda x: F.weekofyear(day(x))), "DATEDIF": dated(_datedif), "YEARFRAC": dated(_yearfrac),

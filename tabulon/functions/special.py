@@ -7,6 +7,7 @@ import cmath
 import math
 import re
 from collections.abc import Callable
+from functools import wraps
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -124,7 +125,25 @@ def irr(values: list[float], guess: float = 0.1) -> float | None:
 def xirr(values: list[float], days: list[float], guess: float = 0.1) -> float | None:
     if not (any(v > 0 for v in values) and any(v < 0 for v in values)):
         return None
-    return _newton(lambda r: sum(v / (1 + r) ** ((d - days[0]) / 365) for v, d in zip(values, days, strict=True)), guess)
+
+    def worth(r: float) -> float:
+        return sum(v / (1 + r) ** ((d - days[0]) / 365) for v, d in zip(values, days, strict=True))
+
+    out = _newton(worth, guess)
+    return _halved(worth) if out is None or abs(worth(out)) > 1e-6 * sum(map(abs, values)) else out
+
+
+def _halved(f: Callable[[float], float]) -> float | None:
+    """A root above -1 between the first two rates of a widening row at which the sign differs."""
+    rates = [-0.999, -0.9, -0.5, 0.0, 0.5, 2.0, 10.0, 100.0, 1e4]
+    for lo, hi in zip(rates, rates[1:], strict=False):
+        if f(lo) * f(hi) <= 0:
+            up = f(hi) > f(lo)
+            for _ in range(200):
+                mid = (lo + hi) / 2
+                lo, hi = (lo, mid) if (f(mid) > 0) == up else (mid, hi)
+            return (lo + hi) / 2
+    return None
 
 
 def parse_complex(s: str) -> tuple[complex, str] | None:
@@ -205,6 +224,7 @@ ALIASES = {
 
 
 def _complex(f: Callable) -> Callable:
+    @wraps(f)
     def run(*args):
         z = [parse_complex(a) if isinstance(a, str) else (complex(a), "i") for a in args]
         if any(x is None for x in z):

@@ -15,16 +15,19 @@ EPOCH = "1899-12-30"
 
 @dataclass
 class V:
-    """``err`` is None where no error can occur; ``col`` is null where an error or an empty cell is."""
+    """``err`` is None where no error can occur; ``strict`` says that ``col`` is null wherever there is one, so that
+    the value needs no test for it.  ``depth`` counts the named calls that a value is built on."""
 
     col: Column
     kind: str
     err: Column | None = None
     literal: object = None
     aggregate: bool = False
+    strict: bool = False
+    depth: int = 0
 
     def value(self) -> Column:
-        return self.col if self.err is None else F.when(self.err.isNull(), self.col)
+        return self.col if self.err is None or self.strict else F.when(self.err.isNull(), self.col)
 
 
 def lit(x) -> V:
@@ -50,7 +53,7 @@ def of_column(col: Column, dtype: T.DataType) -> V:
 
 
 def error(code: str) -> V:
-    return V(F.lit(None).cast("double"), NUM, F.lit(code))
+    return V(F.lit(None).cast("double"), NUM, F.lit(code), strict=True)
 
 
 def first_error(*errs: Column | None) -> Column | None:
@@ -90,7 +93,7 @@ def number_arg(v: V) -> V:
     """As a scalar argument: what is no number is an error."""
     n = number(v)
     missing = F.when(n.isNull(), F.lit(VALUE_ERROR))
-    return V(n, NUM, missing if v.err is None else F.coalesce(v.err, missing), v.literal, v.aggregate)
+    return V(n, NUM, missing if v.err is None else F.coalesce(v.err, missing), v.literal, v.aggregate, True)
 
 
 def plain_text(col: Column) -> Column:

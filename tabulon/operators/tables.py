@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.aggregates import AGGREGATES
 from tabulon.functions.criteria import matches, rectangle
-from tabulon.functions.values import is_blank, number, of_column
+from tabulon.functions.values import TEXT, V, is_blank, number, of_column
+from tabulon.operators.lineage import ensure_checkpoint_dir
 
 
 def _value(df: DataFrame, column: str):
@@ -64,21 +65,32 @@ def lacks_match(df: DataFrame, value: str, table: DataFrame, key: str) -> DataFr
 def database(df: DataFrame, criteria: list[dict[str, object]], fields: dict[str, tuple[str, str]], by: list[str] | None = None) -> DataFrame:
     """D functions over the rows that meet the criteria rectangle, all in one pass: ``fields`` maps a result to
     (function, field).  No row that meets it is an error (null), but for DCOUNT and DCOUNTA."""
-    names = {c for row in criteria for c in row}
-    hit = rectangle({c: _value(df, c) for c in names}, criteria)
-    plain = {"DSUM": "SUM", "DAVERAGE": "AVERAGE", "DPRODUCT": "PRODUCT", "DSTDEV": "STDEV.S", "DSTDEVP": "STDEV.P", "DVAR": "VAR.S", "DVARP": "VAR.P", "DMAX": "MAX", "DMIN": "MIN", "DCOUNT": "COUNT"}
-    met = df.where(hit)
-    columns: list[Column] = []
-    for out, (function, field) in fields.items():
-        v = _value(df, field)
-        if function == "DCOUNTA":
-            columns.append(F.count_if(~is_blank(v)).cast("double").alias(out))
-        elif function == "DGET":
-            columns.append(F.when(F.count(F.lit(1)) == 1, F.first(field)).alias(out))
-        else:
-            c = AGGREGATES[plain[function]](v).value()
-            columns.append((c if function == "DCOUNT" else F.when(F.count(F.lit(1)) > 0, c)).alias(out))
-    return met.groupBy(*(by or [])).agg(*columns)
+    met = df.where(_meets(df, criteria))
+    return met.groupBy(*(by or [])).agg(*[_database(df, function, field, F.lit(True)).alias(out) for out, (function, field) in fields.items()])
+
+
+_PLAIN = {"DSUM": "SUM", "DAVERAGE": "AVERAGE", "DPRODUCT": "PRODUCT", "DSTDEV": "STDEV.S", "DSTDEVP": "STDEV.P", "DVAR": "VAR.S", "DVARP": "VAR.P", "DMAX": "MAX", "DMIN": "MIN", "DCOUNT": "COUNT"}
+
+
+def _meets(df: DataFrame, criteria: list[dict[str, object]]) -> Column:
+    return rectangle({c: _value(df, c) for row in criteria for c in row}, criteria)
+
+
+def _database(df: DataFrame, function: str, field: str, hit: Column) -> Column:
+    v = _value(df, field)
+    v = V(F.when(hit, v.col), v.kind, v.err)
+    n = F.count_if(hit)
+    if function == "DCOUNTA":
+        return F.count_if(hit & ~is_blank(v)).cast("double")
+    if function == "DGET":
+        return F.when(n == 1, F.max(v.col))
+    c = AGGREGATES[_PLAIN[function]](v).value()
+    return c if function == "DCOUNT" else F.when(n > 0, c)
+
+
+def database_column(df: DataFrame, criteria: list[dict[str, object]], function: str, field: str) -> Column:
+    """A D function as an aggregate over all rows, which counts those that meet the criteria."""
+    return _database(df, function, field, F.coalesce(_meets(df, criteria), F.lit(False)))
 
 
 # Pivots and totals
@@ -119,25 +131,62 @@ def with_totals_row(df: DataFrame, totals: dict[str, str], label: str) -> DataFr
 # Ranking
 
 
-def rank(df: DataFrame, value: str, by: list[str], ascending: bool = False) -> DataFrame:
-    """RANK.EQ and RANK.AVG within groups, from the counts of different values: what is ranked is one row a
-    value, not one a document, and joins back."""
+#: Ranges of values, at most, in which a group's values are put in order apart.
+RANGES = 256
+
+
+def _range_of(value: str, bounds: list) -> Column:
+    """The number of bounds below the value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    below, above = _range_of(value, bounds[:mid]), _range_of(value, bounds[mid + 1 :])
+    return F.when(F.col(value) <= F.lit(bounds[mid]), below).otherwise(above + (mid + 1))
+
+
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, __peers, __below, __n): the different numbers of each group, how many rows have each, have a
+    smaller one, and have any.
+
+    Values are dealt into ranges by quantiles over all of them, and only the rows of a range and group are put in order
+    together; sums of the ranges, a row each, say how many lie below.  So no group is sorted in one task.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__peers"))
-    order = F.col(value).asc() if ascending else F.col(value).desc()
-    before = F.sum("__peers").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank_eq", F.coalesce(before, F.lit(0)) + 1).withColumn("rank_avg", F.col("rank_eq") + (F.col("__peers") - 1) / 2)
-    return df.join(ranked.drop("__peers"), [*by, value], "left")
+    width = min(RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    cuts = df.agg(F.percentile_approx(value, [i / width for i in range(1, width)], 10 * width)).first()[0] if width > 1 else None
+    counts = counts.withColumn("__range", _range_of(value, sorted(set(cuts or []))).cast("int"))
+    sizes = counts.groupBy(*by, "__range").agg(F.sum("__peers").alias("__rows"))
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    below = F.sum("__rows").over(groups.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*by, "__range", F.coalesce(below, F.lit(0)).alias("__offset"), F.sum("__rows").over(groups).alias("__n"))
+    within = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("__in", F.coalesce(F.sum("__peers").over(within), F.lit(0)))
+    joined = placed.join(offsets.select(*[F.col(k).alias(f"__by{i}") for i, k in enumerate(by)], F.col("__range").alias("__r"), "__offset", "__n"), [F.col("__range") == F.col("__r"), *[F.col(k).eqNullSafe(F.col(f"__by{i}")) for i, k in enumerate(by)]])
+    return joined.select(*by, value, "__peers", (F.col("__in") + F.col("__offset")).alias("__below"), "__n")
+
+
+def value_ranks(df: DataFrame, value: str, ascending: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, value, rank_eq, rank_avg) of the different values."""
+    counts = value_counts(df, value, list(by))
+    first = F.col("__below") + 1 if ascending else F.col("__n") - F.col("__below") - F.col("__peers") + 1
+    return counts.select(*by, value, first.alias("rank_eq"), (first + (F.col("__peers") - 1) / 2).alias("rank_avg"))
+
+
+def value_percents(df: DataFrame, value: str, digits: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, value, rank_inc, rank_exc) of the different values, cut to digits."""
+    cut = lambda c: F.floor(c * 10**digits + 1e-9) / 10**digits
+    counts = value_counts(df, value, list(by))
+    return counts.select(*by, value, cut(F.try_divide(F.col("__below"), F.col("__n") - 1)).alias("rank_inc"), cut((F.col("__below") + 1) / (F.col("__n") + 1)).alias("rank_exc"))
+
+
+def rank(df: DataFrame, value: str, by: list[str], ascending: bool = False) -> DataFrame:
+    """RANK.EQ and RANK.AVG within groups; what is ranked is one row a value, and joins back."""
+    return df.join(value_ranks(df, value, ascending, tuple(by)), [*by, value], "left")
 
 
 def percent_rank(df: DataFrame, value: str, by: list[str], digits: int = 3) -> DataFrame:
     """PERCENTRANK.INC and .EXC within groups, cut to digits."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__peers"))
-    window = Window.partitionBy(*by).orderBy(value)
-    below = F.coalesce(F.sum("__peers").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.sum("__peers").over(Window.partitionBy(*by))
-    cut = lambda c: F.floor(c * 10**digits + 1e-9) / 10**digits
-    ranked = counts.withColumn("rank_inc", cut(F.try_divide(below, n - 1))).withColumn("rank_exc", cut((below + 1) / (n + 1)))
-    return df.join(ranked.drop("__peers"), [*by, value], "left")
+    return df.join(value_percents(df, value, digits, tuple(by)), [*by, value], "left")
 
 
 def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -145,6 +194,18 @@ def top(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def numbered(df: DataFrame, order: list[Column], ranges: Column, out: str) -> DataFrame:
+    """Adds the rows' numbers, from 1, in ``order``.  ``ranges`` is a key that rises with the order: rows of a range
+    are put in order apart, and the ranges' sizes say where each begins."""
+    ranged = df.withColumn("__range", ranges)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__offset"))
+    placed = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    joined = placed.join(offsets, F.col("__range").eqNullSafe(F.col("__r")))
+    return joined.withColumn(out, F.col("__in") + F.col("__offset")).drop("__range", "__r", "__in", "__offset")
+
+
 # Filters, sorting, validation, labels
 
 
@@ -156,14 +217,14 @@ def auto_filter(df: DataFrame, conditions: dict[str, tuple[str, ...]], any_of: d
     return df
 
 
-def sort_key(column: str, descending: bool = False, custom: list[str] | None = None, case_sensitive: bool = False) -> Column:
-    """A sort state's key: by value, or by place in a custom list (others after it); text folds case."""
-    c = F.col(column)
+def sort_key(df: DataFrame, column: str, descending: bool = False, custom: list[str] | None = None, case_sensitive: bool = False) -> Column:
+    """A sort state's key: by value, or by place in a custom list (others after it); text folds case unless told not to."""
+    c = F.col(f"`{column}`")
     if custom:
         at = F.array_position(F.array(*map(F.lit, custom)), c)
         c = F.when(at > 0, at).otherwise(F.lit(len(custom) + 1))
-    elif not case_sensitive:
-        c = F.lower(c) if descending is None else c
+    elif not case_sensitive and _value(df, column).kind == TEXT:
+        c = F.lower(c)
     return c.desc() if descending else c.asc()
 
 
@@ -245,6 +306,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, sources: DataFrame, max_steps: int | None = None) -> DataFrame:
     """(node, steps): what can be reached from the sources, within ``max_steps`` if given, breadth first; each
     round joins only the last round's nodes with the edges, and lineage is cut."""
+    ensure_checkpoint_dir(edges.sparkSession)
     seen = sources.select(F.col("node"), F.lit(0).alias("steps")).distinct()
     front, step = seen, 0
     while max_steps is None or step < max_steps:

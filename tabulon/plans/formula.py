@@ -1,24 +1,31 @@
 """Formula strings compiled to Column expressions over a header-ed DataFrame.
 
 Grammar, loosest first: comparison (= <> > >= < <=), + -, * /, unary minus, primary.  A primary is a number, a
-text in double quotes, TRUE or FALSE, a call, a name, ``[@column]`` or ``Table[column]``.  The formula is
-parsed once on the driver; rows meet only the resulting expression, which Catalyst plans like any other.
+text in double quotes, TRUE or FALSE, a call, a name, or a structured reference: ``[@column]``, ``[column]``,
+``Table[column]``, ``Table[[first]:[last]]``, ``Table[#All]``, ``Table[#Data]``, ``Table[@column]``,
+``Table[[#This Row],[column]]``, ``Table[[#Headers],[column]]``.  The formula is parsed once on the driver; rows meet
+only the resulting expression, which Catalyst plans like any other.  References to other tables become joins, ranks
+become counts of different values that join back.
 """
 
 from __future__ import annotations
 
+import inspect
 import re
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions import bonds_units  # noqa: F401  registers its functions
-from tabulon.functions.aggregates import AGGREGATES
+from tabulon.functions.aggregates import AGGREGATES, ORDERED
 from tabulon.functions.scalar import SCALARS
-from tabulon.functions.values import BOOL, DIV_ERROR, NUM, V, first_error, lit, number_arg, of_column, text
+from tabulon.functions.values import BOOL, DIV_ERROR, NA, NUM, NUM_ERROR, VALUE_ERROR, V, error, first_error, lit, number, number_arg, of_column, text
+from tabulon.operators import tables as op
 
-_TOKEN = re.compile(r'\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|"((?:[^"]|"")*)"|(\[@[^\]]+\]|[A-Za-z_][\w.]*(?:\[[^\]]*\])?)|(<=|>=|<>|[-+*/=<>(),]))')
+_INNER = r"\[(?:[^\[\]]|\[[^\[\]]*\])*\]"
+_TOKEN = re.compile(rf'\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|"((?:[^"]|"")*)"|([A-Za-z_][\w.]*(?:{_INNER})?|{_INNER})|(<=|>=|<>|[-+*/=<>(),]))')
 
 
 @dataclass(frozen=True)
@@ -31,6 +38,39 @@ class FormulaError(ValueError):
     pass
 
 
+@dataclass
+class Table:
+    """A table that formulas look things up in.  ``position`` is the column with its rows' numbers, from 1, which says
+    what comes first."""
+
+    df: DataFrame
+    position: str
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.df.columns if c != self.position]
+
+
+@dataclass
+class Range:
+    """Columns of a table, of the formulas' own one where it has no name."""
+
+    name: str | None
+    columns: list[str]
+    headers: bool = False
+    literal: object = None
+    aggregate: bool = False
+    depth: int = 0
+
+
+@dataclass
+class _Step:
+    """What a formula needs before it: columns, each with the depth at which it can be made, and joins between."""
+
+    columns: list[tuple[str, Column]] = field(default_factory=list)
+    joins: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+
+
 def tokenize(source: str) -> list[tuple[str, str]]:
     s, at, out = source.strip().removeprefix("="), 0, []
     s = s.rstrip()
@@ -114,7 +154,7 @@ def _arithmetic(op: str, a: V, b: V) -> V:
     errs = [v.err for v in (x, y) if not isinstance(v.literal, float)]
     if op == "/":
         errs.append(F.when(y.col == 0, F.lit(DIV_ERROR)))
-    return V(out, NUM, first_error(*errs), aggregate=a.aggregate or b.aggregate)
+    return V(out, NUM, first_error(*errs), aggregate=a.aggregate or b.aggregate, strict=True)
 
 
 def _compare(op: str, a: V, b: V) -> V:
@@ -128,18 +168,41 @@ def _compare(op: str, a: V, b: V) -> V:
     return V(F.coalesce(out, F.lit(op == "<>")), BOOL, first_error(a.err, b.err), aggregate=a.aggregate or b.aggregate)
 
 
+def accepts(f: Callable, n: int) -> bool:
+    """Whether a function takes n arguments."""
+    if hasattr(f, "arity"):
+        return f.arity[0] <= n <= f.arity[1]
+    try:
+        inspect.signature(f).bind(*[None] * n)
+    except TypeError:
+        return False
+    except ValueError:  # a built-in without a signature
+        return True
+    return True
+
+
 class Compiler:
-    """Compiles formulas against a DataFrame's columns and further names (values or formulas)."""
+    """Compiles formulas against a DataFrame's columns and further names (values, formulas, criteria), and tables.
+
+    ``position`` is the column that numbers the rows, for ROW; ``order`` the one that cash flows follow.
+    """
 
-    def __init__(self, df: DataFrame, names: dict[str, object] | None = None):
+    def __init__(self, df: DataFrame, names: dict[str, object] | None = None, tables: dict[str, Table] | None = None, position: str | None = None, order: str | None = None):
+        self.df = df
         self.fields = {f.name.upper(): f for f in df.schema.fields}
         self.names = {k.upper(): v for k, v in (names or {}).items()}
-        self.steps: list[tuple[str, Column]] = []
+        self.tables = {k.upper(): t for k, t in (tables or {}).items()}
+        self.position, self.order = position, order
+        self.steps: dict[int, _Step] = {}
+        self.made = 0
 
     def compile(self, source: str) -> V:
-        return self._value(parse(source))
+        out = self._value(parse(source))
+        if isinstance(out, Range):
+            raise FormulaError("a range is no value")
+        return out
 
-    def _value(self, n: Node) -> V:
+    def _value(self, n: Node) -> V | Range:
         if n.op == "lit":
             return lit(n.args[0])
         if n.op == "ref":
@@ -148,75 +211,348 @@ class Compiler:
             x = self._value(n.args[0])
             if isinstance(x.literal, float):
                 return lit(-x.literal)
-            y = number_arg(x)
-            return V(-y.col, NUM, y.err, aggregate=x.aggregate)
+            y = number_arg(self._plain(x))
+            return V(-y.col, NUM, y.err, aggregate=x.aggregate, strict=True, depth=x.depth)
         if n.op == "call":
             return self._call(n.args[0], [self._value(a) for a in n.args[1:]], n.args[1:])
-        a, b = map(self._value, n.args)
-        return _arithmetic(n.op, a, b) if n.op in "+-*/" else _compare(n.op, a, b)
-
-    def _ref(self, name: str) -> V:
-        m = re.fullmatch(r"\[@\[?([^\]]+)\]?\]|\w+\[([^\]]+)\]", name)
-        key = (m[1] or m[2] if m else name).strip().upper()
-        if key in self.names:
-            v = self.names[key]
-            return self.compile(v) if isinstance(v, str) and v.startswith("=") else lit(v)
-        if key not in self.fields:
+        a, b = (self._plain(self._value(x)) for x in n.args)
+        out = _arithmetic(n.op, a, b) if n.op in "+-*/" else _compare(n.op, a, b)
+        out.depth = max(a.depth, b.depth)
+        return out
+
+    def _plain(self, x: V | Range) -> V:
+        """A range of one column of the formulas' own table is that column; any other is no value."""
+        if isinstance(x, Range):
+            if x.name is None and len(x.columns) == 1:
+                return self._column(x.columns[0])
+            raise FormulaError(f"a range of {x.name} is no value")
+        return x
+
+    def _column(self, name: str) -> V:
+        f = self.fields.get(name.strip().upper())
+        if f is None:
             raise FormulaError(f"unknown name {name}")
-        f = self.fields[key]
         return of_column(F.col(f"`{f.name}`"), f.dataType)
 
-    def _named(self, v: V, n: Node) -> V:
-        """A call within a call becomes a column of its own first: functions use their arguments more than
-        once, so nested expressions would multiply."""
-        if n.op != "call" or v.aggregate or v.literal is not None:
-            return v
-        at = f"__step{len(self.steps)}"
-        self.steps.append((at, v.col))
+    def _ref(self, name: str) -> V | Range:
+        table, _, inner = name.partition("[")
+        inner = inner.removesuffix("]").strip()
+        if table and not inner:
+            key = table.upper()
+            if key in self.tables and key not in self.fields:
+                return Range(key, self.tables[key].columns)
+            if key in self.names:
+                v = self.names[key]
+                return self.compile(v) if isinstance(v, str) and v.startswith("=") else V(F.lit(None), "criteria", literal=v) if isinstance(v, (list, dict)) else lit(v)
+            return self._column(table)
+        known = self.tables.get(table.upper())
+        own = known is None
+        columns = list(self.df.columns) if own else known.columns
+        named = table.upper() if not own else None
+        parts = [p.strip() for p in re.findall(r"\[([^\[\]]*)\]", inner)] or [inner]
+        marks, plain = [p.upper() for p in parts if p.startswith("#")], [p.removeprefix("@").strip() for p in parts if not p.startswith("#")]
+        if inner.startswith("@"):
+            marks.append("#THIS ROW")
+        at = [next((i for i, c in enumerate(columns) if c.upper() == p.upper()), None) for p in plain]
+        if None in at:
+            key = plain[at.index(None)].upper()
+            if key in self.names and len(plain) == 1:
+                return self._ref(key)
+            raise FormulaError(f"unknown name {name}")
+        if "#HEADERS" in marks:
+            return lit(columns[at[0]]) if len(at) == 1 else Range(named, columns, headers=True)
+        if "#TOTALS" in marks:
+            raise FormulaError(f"{name}: a table has no totals row but with_totals_row's")
+        if "#THIS ROW" in marks:
+            if not own:
+                raise FormulaError(f"{name}: another table has no this row")
+            return self._column(columns[at[0]])
+        chosen = columns if not at else columns[min(at) : max(at) + 1] if re.search(r"\]\s*:\s*\[", inner) else [columns[i] for i in at]
+        if own and len(chosen) == 1:
+            return self._column(chosen[0])
+        return Range(named, chosen)
+
+    def _name(self) -> str:
+        self.made += 1
+        return f"__step{self.made}"
+
+    def _column_step(self, v: V) -> V:
+        """The value as a column of its own."""
+        at, step = self._name(), self.steps.setdefault(v.depth, _Step())
+        step.columns.append((at, v.col))
         err = None
         if v.err is not None:
-            self.steps.append((f"{at}_err", v.err))
+            step.columns.append((f"{at}_err", v.err))
             err = F.col(f"{at}_err")
-        return V(F.col(at), v.kind, err)
+        return V(F.col(at), v.kind, err, strict=v.strict, depth=v.depth + 1)
 
-    def _call(self, name: str, args: list[V], nodes: tuple) -> V:
+    def _named(self, v: V | Range, n: Node) -> V | Range:
+        """A call within a call becomes a column of its own first: functions use their arguments more than
+        once, so nested expressions would multiply."""
+        if n.op != "call" or isinstance(v, Range) or v.aggregate or v.literal is not None:
+            return v
+        return self._column_step(v)
+
+    def _call(self, name: str, args: list[V | Range], nodes: tuple) -> V:
+        depth = max([a.depth for a in args], default=0)
+        if name == "COLUMN":
+            return self._column_number(nodes)
+        if name in TABLE_CALLS:
+            if not accepts(TABLE_CALLS[name], len(args) + 1):
+                return error(f"{name}: wrong number of arguments")
+            out = TABLE_CALLS[name](self, *args)
+            out.depth = max(out.depth, depth)
+            return out
+        args = [self._plain(a) for a in args]
         if name in AGGREGATES and not (name in SCALARS and any(a.aggregate for a in args)):
-            return AGGREGATES[name](*args)
+            f = AGGREGATES[name]
+            if name in ORDERED:
+                if self.order is None:
+                    raise FormulaError(f"{name} needs an order")
+                out = f(F.col(self.order), *args) if accepts(f, len(args) + 1) else error(f"{name}: wrong number of arguments")
+            else:
+                out = f(*args) if accepts(f, len(args)) else error(f"{name}: wrong number of arguments")
+            out.aggregate, out.depth = True, depth
+            return out
         if name not in SCALARS:
             raise FormulaError(f"Unsupported function: {name}")
+        if not accepts(SCALARS[name], len(args)):
+            return error(f"{name}: wrong number of arguments")
         args = [self._named(a, n) for a, n in zip(args, nodes, strict=True)]
         out = SCALARS[name](*args)
         out.aggregate = any(a.aggregate for a in args)
+        out.depth = max([a.depth for a in args], default=0)
         return out
 
-
-def calculate(df: DataFrame, formulas: dict[str, str], names: dict[str, object] | None = None, errors: bool = False) -> DataFrame:
-    """Adds a column for each formula of a row's cells; with ``errors`` also ``<name>_err``, the error or null."""
-    c = Compiler(df, names)
-    for k, f in formulas.items():
-        c.steps.clear()
-        v = c.compile(f)
-        for step, column in c.steps:
-            df = df.withColumn(step, column)
-        df = df.withColumn(k, v.value())
-        if errors:
-            df = df.withColumn(f"{k}_err", v.err if v.err is not None else F.lit(None).cast("string"))
-        df = df.drop(*[step for step, _ in c.steps])
+    def _column_number(self, nodes: tuple) -> V:
+        """Of a column of the formulas' own table or of another; without a reference there is none, for the formula's
+        own column is new."""
+        if len(nodes) != 1 or nodes[0].op != "ref":
+            return error("COLUMN: no reference")
+        r = self._ref(nodes[0].args[0])
+        table, _, inner = nodes[0].args[0].partition("[")
+        if isinstance(r, Range):
+            all_, first = self.df.columns if r.name is None else self.tables[r.name].columns, r.columns[0]
+        else:
+            all_, first = self.df.columns, (re.findall(r"[^\[\]@:]+", inner) or [table])[-1]
+        return lit(float([k.upper() for k in all_].index(first.strip().upper()) + 1))
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """The table with all columns that the formulas compiled so far need, depth by depth."""
+        for depth in sorted(self.steps):
+            step = self.steps[depth]
+            if step.columns:
+                df = df.withColumns(dict(step.columns))
+            for join in step.joins:
+                df = join(df)
+        return df
+
+    # Looking things up
+
+    def _table(self, r: Range) -> tuple[DataFrame, str]:
+        t = self.tables[r.name]
+        return t.df, t.position
+
+    def _found(self, key: V, r: Range, at: str, returned: dict[str, Column]) -> dict[str, Column]:
+        """Columns of the first row of the range's table whose column ``at`` equals the key (numbers as numbers,
+        all else as text, an empty cell as an empty text), by a join; null where there is none."""
+        df, position = self._table(r)
+        kind = of_column(F.col(f"`{at}`"), df.schema[at].dataType)
+        as_number = kind.kind == NUM and key.kind == NUM
+        same = number if as_number else text
+        mine = self._column_step(V(same(key), key.kind, key.err, strict=True, depth=key.depth))
+        names = {k: f"{self._name()}_{i}" for i, k in enumerate(returned)}
+        hit = self._name()
+        first = df.select(same(kind).alias("__key"), F.col(position).alias("__position"), *[c.alias(names[k]) for k, c in returned.items()])
+        first = op.first_match(first.where("__key is not null"), "__key", ["__position"]).drop("__position").withColumn(hit, F.lit(True))
+
+        def join(left: DataFrame) -> DataFrame:
+            return left.join(first, F.when(mine.err.isNull(), mine.col).eqNullSafe(F.col("__key")) if mine.err is not None else mine.col == F.col("__key"), "left").drop("__key")
+
+        self.steps.setdefault(mine.depth, _Step()).joins.append(join)
+        return {k: F.col(n) for k, n in names.items()} | {"__hit": F.col(hit), "__err": mine.err, "__depth": mine.depth + 1}
+
+    def _result(self, r: Range, column: str, found: dict, missing: V | None = None, lost: str = NA) -> V:
+        dtype = self.tables[r.name].df.schema[column].dataType
+        v = of_column(found[column], dtype)
+        lacking = F.when(found["__hit"].isNull(), F.lit(lost))
+        if missing is None:
+            return V(v.col, v.kind, first_error(found["__err"], lacking), strict=True, depth=found["__depth"])
+        there = found["__hit"].isNotNull()
+        if missing.kind == v.kind:
+            return V(F.when(there, v.col).otherwise(missing.value()), v.kind, first_error(found["__err"], missing.err), depth=found["__depth"])
+        return V(F.when(there, text(v)).otherwise(text(missing)), "text", first_error(found["__err"], missing.err), depth=found["__depth"])
+
+
+def _exact(mode: V | None, allowed: tuple = (0.0, False)) -> bool:
+    return mode is None or mode.literal in allowed
+
+
+def _vlookup(c: Compiler, x: V, table: Range, number_: V, mode: V | None = None) -> V:
+    i = number_.literal
+    if not isinstance(i, float) or not 1 <= int(i) <= len(table.columns):
+        return error("VLOOKUP: column out of bounds")
+    if not _exact(mode):
+        return error("VLOOKUP: exact matches only")
+    column = table.columns[int(i) - 1]
+    found = c._found(c._plain(x), table, table.columns[0], {column: F.col(f"`{column}`")})
+    return c._result(table, column, found, lost="VLOOKUP: value not found")
+
+
+def _hlookup(c: Compiler, x: V, table: Range, number_: V, mode: V | None = None) -> V:
+    """Row 1 is the headers: the column of that name, at the row of the given number."""
+    i = number_.literal
+    if not isinstance(i, float) or int(i) < 1:
+        return error("HLOOKUP: row out of bounds")
+    if not _exact(mode):
+        return error("HLOOKUP: exact matches only")
+    df, position = c._table(table)
+    if isinstance(x.literal, str):  # the column is known, and with it the kind of the result
+        if x.literal not in table.columns:
+            return error("HLOOKUP: value not found")
+        of = F.col(f"`{x.literal}`")
+        return lit(x.literal) if i == 1 else c._result(table, x.literal, c._found(lit(i - 1), table, position, {x.literal: of}), lost="HLOOKUP: row out of bounds")
+    kinds = {v.kind for v in (of_column(F.col(f"`{k}`"), df.schema[k].dataType) for k in table.columns)}
+    same = kinds == {NUM}
+    cells = [F.struct(F.lit(k).alias("k"), (F.lit(k) if i == 1 else F.col(f"`{k}`").cast("double" if same else "string")).alias("v")) for k in table.columns]
+    row = df.where(F.col(position) == int(i) - 1) if i > 1 else df.limit(1)
+    long = row.select(F.lit(1).alias("__position"), F.explode(F.array(*cells)).alias("c")).select("__position", F.col("c.k").alias("name"), F.col("c.v").alias("value"))
+    at = f"__HLOOKUP{c.made}"
+    c.tables[at] = Table(long, "__position")
+    r = Range(at, ["name", "value"])
+    return c._result(r, "value", c._found(c._plain(x), r, "name", {"value": F.col("value")}), lost="HLOOKUP: value not found")
+
+
+def _xlookup(c: Compiler, x: V, keys: Range, values: Range, missing: V | None = None, mode: V | None = None, search: V | None = None) -> V:
+    if not _exact(mode) or not _exact(search, (1.0,)):
+        return error("XLOOKUP: exact matches only")
+    if len(keys.columns) != 1 or len(values.columns) != 1 or keys.name != values.name:
+        return error("XLOOKUP: one column each of one table")
+    column = values.columns[0]
+    found = c._found(c._plain(x), keys, keys.columns[0], {column: F.col(f"`{column}`")})
+    return c._result(values, column, found, missing, "XLOOKUP: value not found")
+
+
+def _match(c: Compiler, x: V, keys: Range, mode: V | None = None, search: V | None = None) -> V:
+    if not _exact(mode) or not _exact(search, (1.0,)):
+        return error("MATCH: exact matches only")
+    position = c.tables[keys.name].position
+    found = c._found(c._plain(x), keys, keys.columns[0], {position: F.col(f"`{position}`").cast("double")})
+    out = c._result(keys, position, found, lost="MATCH: value not found")
+    return V(found[position], NUM, out.err, strict=True, depth=out.depth)
+
+
+def _index(c: Compiler, table: Range, row: V, column: V | None = None) -> V:
+    j = 1.0 if column is None else column.literal
+    if not isinstance(j, float) or not 1 <= int(j) <= len(table.columns):
+        return error("INDEX: column out of bounds")
+    name, position = table.columns[int(j) - 1], c.tables[table.name].position
+    n = number_arg(c._plain(row))
+    key = V(F.floor(n.col).cast("double"), NUM, n.err, strict=True, depth=c._plain(row).depth)
+    return c._result(table, name, c._found(key, table, position, {name: F.col(f"`{name}`")}), lost="INDEX: row out of bounds")
+
+
+def _rank(average: bool):
+    def run(c: Compiler, x: V, values: Range | V, order: V | None = None) -> V:
+        return _placed(c, x, values, lambda df: op.value_ranks(df, "__v", bool(order is not None and order.literal)), "rank_avg" if average else "rank_eq")
+
+    return run
+
+
+def _percent_rank(column: str):
+    def run(c: Compiler, values: Range | V, x: V, digits: V | None = None) -> V:
+        return _placed(c, x, values, lambda df: op.value_percents(df, "__v", 3 if digits is None else int(digits.literal)), column)
+
+    return run
+
+
+def _placed(c: Compiler, x: V, values: Range | V, places: Callable[[DataFrame], DataFrame], column: str) -> V:
+    """Where x stands among the values, which it must be one of."""
+    if isinstance(values, Range):
+        df, of = (c._table(values)[0] if values.name is not None else c.df), values.columns[0]
+        v = of_column(F.col(f"`{of}`"), df.schema[of].dataType)
+    else:
+        df, v = c.df, values
+    ranked = places(df.select(number(v).alias("__v"))).select("__v", column)
+    at = f"__PLACES{c.made}"
+    c.tables[at] = Table(ranked.withColumn("__position", F.lit(1)), "__position")
+    r = Range(at, [column])
+    key = number_arg(c._plain(x))
+    key.depth = c._plain(x).depth
+    return c._result(r, column, c._found(key, r, "__v", {column: F.col(column)}))
+
+
+def _database(name: str):
+    def run(c: Compiler, table: Range, of: V, criteria: V) -> V:
+        if table.name is not None:
+            raise FormulaError(f"{name} works on the table that is summarized")
+        columns = {k.upper(): k for k in c.df.columns}
+        key = c.df.columns[int(of.literal) - 1] if isinstance(of.literal, float) else columns.get(str(of.literal).upper())
+        if key is None or not isinstance(criteria.literal, (list, dict)):
+            return error(f"{name}: no such field or criteria")
+        rows = criteria.literal if isinstance(criteria.literal, list) else [criteria.literal]
+        out = op.database_column(c.df, rows, name, key)
+        kind = of_column(F.col(f"`{key}`"), c.df.schema[key].dataType).kind if name == "DGET" else NUM
+        return V(out, kind, F.when(out.isNull(), F.lit(VALUE_ERROR if name == "DGET" else NUM_ERROR)), aggregate=True, strict=True)
+
+    return run
+
+
+def _row(c: Compiler, of: V | None = None) -> V:
+    return error("ROW: the rows have no numbers") if c.position is None else V(F.col(f"`{c.position}`").cast("double"), NUM)
+
+
+def _sheets(c: Compiler) -> list[str]:
+    return [k for k in c.tables if not k.startswith("__")]
+
+
+#: Functions of ranges and of the compiler's own tables.
+TABLE_CALLS: dict[str, Callable] = {
+    "VLOOKUP": _vlookup, "HLOOKUP": _hlookup, "XLOOKUP": _xlookup, "MATCH": _match, "XMATCH": _match, "INDEX": _index,
+    "RANK": _rank(False), "RANK.EQ": _rank(False), "RANK.AVG": _rank(True), "PERCENTRANK": _percent_rank("rank_inc"), "PERCENTRANK.INC": _percent_rank("rank_inc"), "PERCENTRANK.EXC": _percent_rank("rank_exc"),
+    "ROW": _row, "COLUMNS": lambda c, r: lit(float(len(r.columns) if isinstance(r, Range) else 1)),
+    "SHEETS": lambda c, r=None: lit(float(len(_sheets(c)) + 1) if r is None else 1.0), "SHEET": lambda c, name=None: lit(1.0) if name is None else lit(float(_sheets(c).index(str(name.literal).upper()) + 2)) if str(name.literal).upper() in _sheets(c) else error(NA),
+} | {k: _database(k) for k in ("DSUM", "DAVERAGE", "DPRODUCT", "DSTDEV", "DSTDEVP", "DVAR", "DVARP", "DMAX", "DMIN", "DCOUNT", "DCOUNTA", "DGET")}
+
+
+def calculate(df: DataFrame, formulas: dict[str, str], names: dict[str, object] | None = None, errors: bool = False, tables: dict[str, Table] | None = None, position: str | None = None) -> DataFrame:
+    """Adds a column for each formula of a row's cells; with ``errors`` also ``<name>_err``, the error or null.
+
+    A formula may use the columns that those before it add.
+    """
+    todo = list(formulas.items())
+    while todo:
+        c, columns, out = Compiler(df, names, tables, position), list(df.columns), {}
+        while todo and not (out and _uses(todo[0][1], out)):
+            k, f = todo.pop(0)
+            v = c.compile(f)
+            if v.aggregate:
+                raise FormulaError(f"{f}: an aggregate has no row")
+            out[k] = v.value()
+            if errors:
+                out[f"{k}_err"] = v.err if v.err is not None else F.lit(None).cast("string")
+        ready = c.prepare(df)
+        rest = [F.col(f"`{k}`") for k in columns if k not in out]
+        df = ready.select(*rest, *[v.alias(k) for k, v in out.items()]) if c.steps else df.withColumns(out)
     return df
 
 
-def summarize(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, names: dict[str, object] | None = None) -> DataFrame:
-    """Aggregate formulas over all rows or over each group, all in one pass."""
-    c = Compiler(df, names)
+def _uses(source: str, made: dict) -> bool:
+    names = {k.upper() for k in made}
+    return any(kind == "name" and re.split(r"[\[\]@]", s)[-2 if "[" in s else 0].strip().upper() in names for kind, s in tokenize(source))
+
+
+def summarize(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, names: dict[str, object] | None = None, order: str | None = None) -> DataFrame:
+    """Aggregate formulas over all rows or over each group, all in one pass; ``order`` is the column that says which
+    row's cash flow comes first."""
+    c = Compiler(df, names, order=order)
     columns: list[Column] = [c.compile(f).value().alias(k) for k, f in formulas.items()]
-    for step, column in c.steps:
-        df = df.withColumn(step, column)
-    return df.groupBy(*(by or [])).agg(*columns)
+    return c.prepare(df).groupBy(*(by or [])).agg(*columns)
 
 
 def supported() -> list[str]:
     """Names of all functions that formulas may call."""
-    return sorted({*SCALARS, *AGGREGATES})
+    return sorted({*SCALARS, *AGGREGATES, *TABLE_CALLS, "COLUMN"})
 
 
-__all__ = ["Compiler", "FormulaError", "calculate", "parse", "summarize", "supported", "tokenize"]
+__all__ = ["Compiler", "FormulaError", "Table", "calculate", "parse", "summarize", "supported", "tokenize"]

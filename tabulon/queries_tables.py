@@ -106,8 +106,9 @@ def sort_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_acctbal DESC, c_custkey LIMIT 40")
 def sort_custom_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = [op.sort_key("c_mktsegment", custom=["MACHINERY", "BUILDING"]), op.sort_key("c_acctbal", descending=True), op.sort_key("c_custkey")]
-    return op.top(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), 40, keys)
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    keys = [op.sort_key(c, "c_mktsegment", custom=["MACHINERY", "BUILDING"]), op.sort_key(c, "c_acctbal", descending=True), op.sort_key(c, "c_custkey")]
+    return op.top(c, 40, keys)
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 45 OR l_quantity <= 2) AND l_returnflag <> 'N'")

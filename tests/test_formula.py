@@ -63,3 +63,58 @@ def test_special_functions():
         x = special.NUMERIC[f"{name}.INV"][0](*p)
         assert special.NUMERIC[f"{name}.DIST"][0](x, *p[1:], 1.0) == pytest.approx(p[0])
     assert special.format_complex(*special.parse_complex("-2.5-j")) == "-2.5-j" and special.parse_complex("x") is None and len(fx.supported()) > 350
+
+
+@pytest.fixture(scope="module")
+def prices(spark):
+    rows = [(1, "b", 2.0, 10), (2, "a", 3.0, 20), (3, "b", 9.0, 30), (4, None, 5.0, 40), (5, "7", 6.0, 50)]
+    return fx.Table(spark.createDataFrame(rows, "at int, name string, price double, code int"), "at")
+
+
+def looked_up(spark, prices, f):
+    keys = spark.createDataFrame([(1, "a", 30.0), (2, "b", 20.0), (3, "z", 99.0), (4, None, None)], "id int, k string, c double")
+    out = fx.calculate(keys, {"v": f}, errors=True, tables={"Prices": prices}, position="id").orderBy("id").collect()
+    return [r["v_err"] if r["v_err"] is not None else r["v"] for r in out]
+
+
+@pytest.mark.parametrize("f,want", [
+    ("=VLOOKUP(k, Prices, 2)", [3.0, 2.0, "VLOOKUP: value not found", 5.0]), ("=VLOOKUP(k, Prices, 9)", ["VLOOKUP: column out of bounds"] * 4), ("=VLOOKUP(k, Prices, 2, TRUE)", ["VLOOKUP: exact matches only"] * 4), ("=XLOOKUP(k, Prices[name], Prices[code], -1)", [20.0, 10.0, -1.0, 40.0]),
+    ('=XLOOKUP(k, Prices[name], Prices[price], "none")', ["3", "2", "none", "5"]), ("=XLOOKUP(c, Prices[code], Prices[name])", ["b", "a", "XLOOKUP: value not found", "XLOOKUP: value not found"]), ("=MATCH(k, Prices[name], 0)", [2.0, 1.0, "MATCH: value not found", 4.0]), ("=MATCH(7, Prices[name])", [5.0] * 4), ("=MATCH(k, Prices[name], 1)", ["MATCH: exact matches only"] * 4),
+    ("=INDEX(Prices[name], ROW())", ["b", "a", "b", None]), ("=INDEX(Prices, 9, 1)", ["INDEX: row out of bounds"] * 4), ("=INDEX(Prices[price], MATCH(k, Prices[name], 0)) * 2", [6.0, 4.0, "MATCH: value not found", 10.0]), ('=HLOOKUP("price", Prices, 3)', [3.0] * 4), ('=HLOOKUP(k, Prices, 2)', ["HLOOKUP: value not found"] * 4),
+    ("=COLUMN(c)", [3.0] * 4), ("=COLUMN([@k])", [2.0] * 4), ("=COLUMNS(Prices)", [3.0] * 4), ("=COLUMN(Prices[code])", [3.0] * 4), ("=ROW()", [1.0, 2.0, 3.0, 4.0]), ("=SHEETS()", [2.0] * 4), ('=SHEET("prices")', [2.0] * 4), ('=SHEET("none")', ["#N/A"] * 4), ("=Prices[[#Headers],[code]]", ["code"] * 4),
+    ("=RANK(c, [c])", [2.0, 3.0, 1.0, "#VALUE!"]), ("=RANK.AVG(c, [c], 1)", [2.0, 1.0, 3.0, "#VALUE!"]), ("=RANK(c, Prices[code])", [3.0, 4.0, "#N/A", "#VALUE!"]), ("=PERCENTRANK([c], c)", [0.5, 0.0, 1.0, "#VALUE!"]), ("=IFERROR(VLOOKUP(k, Prices, 2) / 0, -1)", [-1.0] * 4), ("=VLOOKUP(k)", ["VLOOKUP: wrong number of arguments"] * 4),
+])
+def test_lookups_in_formulas(spark, prices, f, want):
+    assert looked_up(spark, prices, f) == want
+
+
+@pytest.mark.parametrize("f", ["=TDIST(1.96,60,2)", "=ROUND(1)", "=ROUND(1,2,3)", "=PI(1)", "=IF()", "=YEAR()", "=LEFT()", "=NORM.DIST(1)", "=IMSUB(\"1\")", "=CONVERT(1,\"m\")", "=YIELD(1,2)", "=DEC2BIN(1,2,3)"])
+def test_a_wrong_number_of_arguments_is_an_error_in_band(spark, f):
+    assert one(spark, f).endswith(": wrong number of arguments")
+    assert one(spark, f"=IFERROR({f[1:]}, 5)") == 5.0
+
+
+def test_later_formulas_use_earlier_ones(spark):
+    out = fx.calculate(spark.range(3), {"a": "=id*2", "b": "=a+1", "c": "=IF(b>3,ROUND(a/b,1),\"low\")", "id": "=b"}).orderBy("a").collect()
+    assert [(r["a"], r["b"], r["c"], r["id"]) for r in out] == [(0.0, 1.0, "low", 1.0), (2.0, 3.0, "low", 3.0), (4.0, 5.0, "0.8", 5.0)]
+
+
+def test_literal_calls_need_no_python(spark):
+    plan = fx.calculate(spark.range(3), {"a": "=RATE(12,-100,1000)", "b": "=NORM.S.INV(0.9)+id", "c": '=DURATION("2020-01-01","2021-12-21",0.08,0.08,1)', "d": "=VDB(id+10,0,4,0,4)", "e": '=IMSUM("1+i","2")'})
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.first()["e"] == "3+i"
+
+
+def test_cash_flows_and_database_in_formulas(spark):
+    df = spark.createDataFrame([(2, 60.0, "x"), (1, -100.0, "y"), (3, 60.0, "x")], "t int, v double, k string")
+    f = {"npv": "=NPV(0.1,v)", "irr": "=IRR(v)", "d": '=DSUM([#All],"v",crit)', "n": "=DCOUNT([#All],2,crit)", "g": '=IFERROR(DGET([#All],"k",one),"-")', "two": '=IFERROR(DGET([#All],"v",crit),-1)', "bad": "=IFERROR(NPV(1),0)", "none": '=IFERROR(DMAX([#All],"v",nothing),-9)'}
+    r = fx.summarize(df, f, names={"crit": [{"k": "x"}], "one": {"t": "<2"}, "nothing": [{"k": "q"}]}, order="t").first()
+    assert r["npv"] == pytest.approx(-100 / 1.1 + 60 / 1.21 + 60 / 1.331) and r["irr"] == pytest.approx(special.irr([-100, 60, 60]))
+    assert (r["d"], r["n"], r["g"], r["two"], r["bad"], r["none"]) == (120.0, 2.0, "y", -1.0, 0.0, -9.0)
+    with pytest.raises(fx.FormulaError):
+        fx.summarize(df, {"x": "=NPV(0.1,v)"})
+
+
+def test_random_numbers(spark):
+    rows = fx.calculate(spark.range(200), {"a": "=RAND()", "b": "=RANDBETWEEN(2,4)"}).collect()
+    assert all(0 <= r["a"] < 1 for r in rows) and {r["b"] for r in rows} == {2.0, 3.0, 4.0}
