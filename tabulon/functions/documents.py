@@ -39,6 +39,31 @@ def table_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
     return gathered.select(*keys, F.array_join(F.concat(F.slice(text, 1, 1), F.array(rule), F.slice(text, F.lit(2), F.size(text))), "\n").alias("markdown"))
 
 
+def document_markdown(elements: DataFrame) -> DataFrame:
+    """(path, markdown) of documents given by their elements, as the DOCX reader has them: headings by their style's
+    number, list items by theirs, runs with their marks, tables with their first row as head."""
+    level = F.regexp_extract("style", r"(?i)^heading ?([1-9])", 1)
+    runs = F.array_join(F.transform("runs", lambda r: run_markdown(markdown_escape(r["text"]), r["bold"], r["italic"], r["strike"])), "")
+    lead = F.when(level != "", F.concat(F.repeat(F.lit("#"), F.least(level.try_cast("int"), F.lit(6))), F.lit(" "))).when(F.lower("style") == "title", "# ").when(F.lower("style").startswith("list"), "- ").otherwise("")
+    clean = lambda s: F.replace(F.replace(F.coalesce(s, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    of_row = lambda cells, i: F.concat(F.lit("| "), F.array_join(F.transform(F.filter(cells, lambda c: c["row"] == i), lambda c: clean(c["text"])), " | "), F.lit(" |"))
+    last = F.array_max(F.transform("cells", lambda c: c["row"]))
+    width = F.size(F.filter("cells", lambda c: c["row"] == 0))
+    lines = F.transform(F.sequence(F.lit(0), last), lambda i: of_row(F.col("cells"), i))
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+    part = F.when(F.col("kind") == "table", F.when(F.size("cells") > 0, table)).otherwise(F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.coalesce(lead, F.lit("")), runs)))
+    gathered = elements.where("elem is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("elem", part.alias("p")))).alias("e"))
+    return gathered.select("path", F.array_join(F.filter(F.transform("e", lambda x: x["p"]), lambda p: p.isNotNull()), "\n\n").alias("markdown"))
+
+
+def cells_text(cells: DataFrame, separator: str = "\t") -> DataFrame:
+    """(path, sheet, text) of sheets given by their cells: rows in order, cells by column, empty ones included."""
+    rows = cells.where("row is not null").groupBy("path", "sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit(""))))).alias("v"), F.max("col").alias("n"))
+    line = F.array_join(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.coalesce(F.try_element_at("v", i), F.lit(""))), separator)
+    gathered = rows.groupBy("path", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))).alias("r"))
+    return gathered.select("path", "sheet", F.array_join(F.transform("r", lambda r: r["line"]), "\n").alias("text"))
+
+
 def conversation_markdown(turns: DataFrame) -> DataFrame:
     """(conv_id, markdown): each turn under a heading of its role, turns parted by a rule."""
     part = F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))

@@ -214,7 +214,7 @@ groups_query("agg_tests", "lineitem", ["l_returnflag"], {
 
 
 def queries() -> dict[str, Query]:
-    from tabulon import queries_formulas, queries_tables  # noqa: F401  register their queries
+    from tabulon import queries_formulas, queries_sources, queries_tables  # noqa: F401  register their queries
 
     return QUERIES
 

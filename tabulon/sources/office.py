@@ -198,6 +198,132 @@ def odf_paragraphs(content: bytes) -> Iterator[dict]:
             yield {"page": page, "kind": "heading" if _local(e) == "h" else "paragraph", "level": int(_attr(e, "outline-level", "0")), "text": text(e)}
 
 
+#: Members that hold the properties of a document, by format family.
+_PROPERTIES = ("docProps/core.xml", "meta.xml")
+#: Properties by the names that the families give them.
+_PROPERTY_NAMES = {
+    "title": "title", "subject": "subject", "creator": "creator", "initial-creator": "author", "description": "description", "keywords": "keywords", "keyword": "keywords", "lastModifiedBy": "last_modified_by",
+    "created": "created", "creation-date": "created", "modified": "modified", "date": "modified", "category": "category", "revision": "revision", "editing-cycles": "revision", "language": "language",
+}
+
+
+def properties(content: bytes) -> Iterator[dict]:
+    """name and value of the document's properties, of an office or OpenDocument package."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for member in _PROPERTIES:
+            if member in z.namelist():
+                for e in _xml(z, member).iter():
+                    if _local(e) in _PROPERTY_NAMES and (e.text or "").strip():
+                        yield {"name": _PROPERTY_NAMES[_local(e)], "value": e.text.strip()}
+
+
+def _text(e: ET.Element) -> str:
+    """Paragraphs of an element, a line each."""
+    lines = ["".join(t.text or "" for t in _find(p, "t")) for p in _find(e, "p")]
+    return "\n".join(lines) if lines else "".join(t.text or "" for t in _find(e, "t"))
+
+
+def _links(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    return {r.get("Id"): r.get("Target") for r in _find(_xml(z, rels), "Relationship")} if rels in z.namelist() else {}
+
+
+def extras(content: bytes) -> Iterator[dict]:
+    """What stands beside a document's text: kind, place, name, author, date and text, in the order of its parts.
+
+    Hyperlinks, comments, notes, headers, footers and bookmarks of DOCX; merged cells, hyperlinks, comments, defined
+    names and tables of XLSX; notes, comments and tables of PPTX; annotations, notes, links and bookmarks of
+    OpenDocument files.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        if "word/document.xml" in names:
+            yield from _docx_extras(z, names)
+        elif "xl/workbook.xml" in names:
+            yield from _xlsx_extras(z, names)
+        elif "ppt/presentation.xml" in names:
+            yield from _pptx_extras(z, names)
+        elif "content.xml" in names:
+            yield from _odf_extras(_xml(z, "content.xml"))
+
+
+def _comments(root: ET.Element, kind: str = "comment") -> Iterator[dict]:
+    for c in _find(root, "comment", "cm"):
+        yield {"kind": kind, "place": _attr(c, "ref") or _attr(c, "id"), "author": _attr(c, "author"), "date": _attr(c, "date") or _attr(c, "dt"), "text": _text(c) or "".join(x.text or "" for x in _find(c, "text"))}
+
+
+def _docx_extras(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    links, root = _links(z, "word/document.xml"), _xml(z, "word/document.xml")
+    for e in _find(root, "hyperlink", "bookmarkStart"):
+        if _local(e) == "hyperlink":
+            target = links.get(_attr(e, "id", "")) or "#" + _attr(e, "anchor", "")
+            yield {"kind": "hyperlink", "place": target, "text": "".join(t.text or "" for t in _find(e, "t"))}
+        else:
+            yield {"kind": "bookmark", "place": _attr(e, "id"), "name": _attr(e, "name")}
+    for name in sorted(n for n in names if re.fullmatch(r"word/(comments|footnotes|endnotes|header\d*|footer\d*)\.xml", n)):
+        kind = re.match(r"word/([a-z]+)", name)[1]
+        part = _xml(z, name)
+        if kind == "comments":
+            yield from _comments(part)
+        elif kind in ("footnotes", "endnotes"):
+            yield from ({"kind": kind[:-1], "place": _attr(n, "id"), "text": _text(n)} for n in _find(part, kind[:-1]) if _attr(n, "type") is None)
+        else:
+            yield {"kind": kind, "place": name.rpartition("/")[2], "text": _text(part)}
+
+
+def _xlsx_extras(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    book, targets = _xml(z, "xl/workbook.xml"), _links(z, "xl/workbook.xml")
+    for n in _find(book, "definedName"):
+        yield {"kind": "defined name", "name": n.get("name"), "text": n.text}
+    for sheet in _find(book, "sheet"):
+        part = "xl/" + targets[_attr(sheet, "id")].removeprefix("/xl/")
+        own, where = _links(z, part), sheet.get("name")
+        root = _xml(z, part)
+        for e in _find(root, "mergeCell", "hyperlink"):
+            if _local(e) == "mergeCell":
+                yield {"kind": "merged cells", "place": e.get("ref"), "name": where}
+            else:
+                yield {"kind": "hyperlink", "place": e.get("ref"), "name": where, "text": own.get(_attr(e, "id", "")) or "#" + e.get("location", "")}
+        for target in own.values():
+            path = "xl/" + target.removeprefix("../").removeprefix("/xl/")
+            if path in names and "table" in path:
+                t = _xml(z, path)
+                yield {"kind": "table", "place": t.get("ref"), "name": t.get("displayName") or t.get("name"), "text": ",".join(c.get("name", "") for c in _find(t, "tableColumn"))}
+            elif path in names and "comments" in path:
+                authors = [a.text or "" for a in _find(_xml(z, path), "author")]
+                for c in _find(_xml(z, path), "comment"):
+                    yield {"kind": "comment", "place": c.get("ref"), "name": where, "author": authors[int(c.get("authorId", "0"))] if authors else None, "text": "".join(t.text or "" for t in _find(c, "t"))}
+
+
+def _pptx_extras(z: zipfile.ZipFile, names: list[str]) -> Iterator[dict]:
+    number = lambda n: int(re.search(r"(\d+)\.xml$", n)[1])
+    for name in sorted((n for n in names if re.fullmatch(r"ppt/(notesSlides/notesSlide|comments/comment|slides/slide)\d+\.xml", n)), key=lambda n: (n.split("/")[1], number(n))):
+        root, place = _xml(z, name), str(number(name))
+        if "notesSlide" in name:
+            yield {"kind": "notes", "place": place, "text": _text(root)}
+        elif "comment" in name:
+            yield from _comments(root)
+        else:
+            for t in _find(root, "tbl"):
+                rows = ["\t".join(_text(c) for c in _find(r, "tc")) for r in _find(t, "tr")]
+                yield {"kind": "table", "place": place, "text": "\n".join(rows)}
+
+
+def _odf_extras(root: ET.Element) -> Iterator[dict]:
+    for e in _find(root, "annotation", "note", "a", "bookmark", "bookmark-start"):
+        kind = _local(e)
+        if kind == "annotation":
+            by, at = (next((x.text for x in e if _local(x) == n), None) for n in ("creator", "date"))
+            yield {"kind": "comment", "author": by, "date": at, "text": "\n".join("".join(p.itertext()) for p in _find(e, "p"))}
+        elif kind == "note":
+            yield {"kind": _attr(e, "note-class", "footnote"), "place": _attr(e, "id"), "text": "\n".join("".join(p.itertext()) for p in _find(e, "p"))}
+        elif kind == "a":
+            yield {"kind": "hyperlink", "place": _attr(e, "href"), "text": "".join(e.itertext())}
+        else:
+            yield {"kind": "bookmark", "name": _attr(e, "name")}
+
+
 _RTF_TOKEN = re.compile(rb"\\([a-z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z'])|([{}])|([^\\{}\r\n]+)|[\r\n]+", re.I)
 #: Destinations whose text is none of the document's.
 _RTF_SKIP = {b"fonttbl", b"colortbl", b"stylesheet", b"info", b"pict", b"header", b"footer", b"generator", b"themedata", b"listtable", b"listoverridetable", b"rsidtbl", b"object"}

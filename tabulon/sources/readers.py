@@ -112,6 +112,58 @@ def read_rtf(spark: SparkSession, path: str) -> DataFrame:
     return parsed(files(spark, path), lambda b: iter([{"text": office.rtf_text(b)}]), "path string, text string")
 
 
+def read_properties(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, value) of the files' document properties."""
+    return parsed(files(spark, path), office.properties, "path string, name string, value string")
+
+
+_EXTRAS = "path string, kind string, place string, name string, author string, date string, text string"
+
+
+def read_extras(spark: SparkSession, path: str) -> DataFrame:
+    """What stands beside the files' text, as :func:`office.extras` has it."""
+    return parsed(files(spark, path), office.extras, _EXTRAS)
+
+
+#: Parsers by format, with the schema of their rows: what :func:`read_any` and the readers of content share.
+PARSERS: dict[str, tuple[Callable[[bytes], Iterator[dict]], str]] = {
+    "csv": (_grid(lambda s: text_tables.parse_delimited(s, ",")), _CELLS), "tsv": (_grid(lambda s: text_tables.parse_delimited(s, "\t")), _CELLS), "dif": (_grid(text_tables.parse_dif), _CELLS), "sylk": (_grid(text_tables.parse_sylk), _CELLS),
+    "fixed": (_grid(text_tables.parse_fixed), _CELLS), "xlsx": (office.xlsx_cells, _CELLS), "ods": (office.ods_cells, _CELLS), "docx": (office.docx_elements, f"path string, elem int, kind string, style string, text string, runs {_RUN}, cells {_TABLE}"),
+    "pptx": (office.pptx_slides, "path string, slide_no int, name string, text string, shape_count int"), "rtf": (lambda b: iter([{"text": office.rtf_text(b)}]), "path string, text string"), "properties": (office.properties, "path string, name string, value string"), "extras": (office.extras, _EXTRAS),
+}
+
+
+def read_content(content: DataFrame, kind: str) -> DataFrame:
+    """Rows of files that are held as (path, content)."""
+    return parsed(content, *PARSERS[kind])
+
+
+def _any_text(data: bytes) -> Iterator[dict]:
+    kind = office.detect(data)
+    if kind in ("xlsx", "ods"):
+        rows: dict[tuple, list[str]] = {}
+        for c in (office.xlsx_cells if kind == "xlsx" else office.ods_cells)(data):
+            rows.setdefault((c["sheet"], c["row"]), []).append(c["value"] or "")
+        text = "\n".join("\t".join(r) for r in rows.values())
+    elif kind == "docx":
+        text = "\n".join(e["text"] for e in office.docx_elements(data))
+    elif kind == "pptx":
+        text = "\n".join(s["text"] for s in office.pptx_slides(data))
+    elif kind in ("odt", "odp"):
+        text = "\n".join(p["text"] for p in office.odf_paragraphs(data))
+    elif kind == "rtf":
+        text = office.rtf_text(data)
+    else:
+        text = data.decode("utf-8", "replace") if kind is None else None
+    yield {"format": kind or "text", "text": text}
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format, text): each file's format told from its bytes, and its text, in one reading; text is null for
+    formats that are told apart only."""
+    return parsed(files(spark, path), _any_text, "path string, format string, text string")
+
+
 def detect(spark: SparkSession, path: str) -> DataFrame:
     """(path, format)."""
     return parsed(files(spark, path), lambda b: iter([{"format": office.detect(b)}]), "path string, format string")
