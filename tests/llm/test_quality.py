@@ -79,6 +79,64 @@ def test_clashing_columns_and_odd_field_names(spark, odd_docs):
     assert rows.columns == [*odd_docs.columns, "s", *quality.COUNTS, "p_quality", "base_failed", "kept"] and rows.first()["s"][0] == 1
 
 
+W = (1 << 64) - 1
+
+
+def mixed(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> shift)) * factor & W
+    return h ^ (h >> 31)
+
+
+def brute_margin(text, weights):
+    """Sum over the four families of n-grams of the mean weight of a text's, by plain integers."""
+    base = 0x9E3779B97F4A7C15
+
+    def word_hash(w):
+        total = 0
+        for i, c in enumerate(w):
+            x = (ord(c) + 1) * 0xD6E8FEB86659FD93 & W
+            total += (x ^ (x >> 29)) * pow(base, i, 1 << 64)
+        return mixed((total + len(w)) & W)
+
+    def grams(items, k):
+        return [mixed(sum(x * pow(base, k - 1 - j, 1 << 64) for j, x in enumerate(items[i : i + k])) & W) for i in range(len(items) - k + 1)]
+
+    words = [word_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    chars = [(ord(c) + 1) * 0xD6E8FEB86659FD93 & W for c in text]
+    chars = [x ^ (x >> 32) for x in chars]
+    pairs = [0x1B873593CC9E2D51 if a == b else h for h, a, b in zip(grams(words, 2), words, words[1:])]
+    total = 0.0
+    for family, hashes in enumerate((grams(words, 1), pairs, grams(chars, 3), grams(chars, 4))):
+        found = [weights[family * 65536 + (h >> 48)] for h in hashes]
+        total += sum(found) / len(found) if found else 0.0
+    return total
+
+
+def test_scores_against_plain_arithmetic(spark, docs):
+    rng = np.random.default_rng(3)
+    texts = [r["text"] or "" for r in docs.limit(60).collect()] + ["", "a", "a a a b", "é | ü 😀", " \n"]
+    good = np.arange(len(texts)) % 3 > 0
+    model = quality.fit(texts, good)
+    model[: quality.N_FAMILIES * quality.BUCKETS] += rng.normal(size=quality.N_FAMILIES * quality.BUCKETS)
+    got = quality.probabilities(tk.Texts(texts), model)
+    b, slope, shift = model[-3:]
+    for t, p in zip(texts, got, strict=True):
+        assert abs(p - 1 / (1 + np.exp(-(slope * (brute_margin(t, model) + b) + shift)))) < 1e-9
+
+
+def test_the_fit_is_at_its_minimum():
+    rng = np.random.default_rng(8)
+    r, c, x = rng.integers(0, 80, 900), rng.integers(0, 12, 900), rng.random(900)
+    y = (rng.random(80) < 0.4).astype(float)
+    w = quality._regress(r, c, x, y, 12)
+    dense = np.zeros((80, 12))
+    np.add.at(dense, (r, c), x)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    slope = lambda w: np.append(dense.T @ (weight * (1 / (1 + np.exp(-(dense @ w[:-1] + w[-1]))) - y)) + quality.L2 * w[:-1], (weight * (1 / (1 + np.exp(-(dense @ w[:-1] + w[-1]))) - y)).sum())
+    assert np.abs(slope(w)).max() < 1e-3 < np.abs(slope(np.zeros(13))).max()
+
+
 def test_training_rows_are_bounded(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
