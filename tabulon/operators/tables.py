@@ -179,6 +179,27 @@ def value_percents(df: DataFrame, value: str, digits: int = 3, by: tuple[str, ..
     return counts.select(*by, value, cut(F.try_divide(F.col("__below"), F.col("__n") - 1)).alias("rank_inc"), cut((F.col("__below") + 1) / (F.col("__n") + 1)).alias("rank_exc"))
 
 
+def order_statistics(df: DataFrame, value: str, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(by, each wanted) of groups of any size, from the counts of their different values: ``wanted`` maps a column to
+    (kind, k), a kind being ``inc`` and ``exc`` for the percentile k, ``small`` and ``large`` for the k-th number, and
+    ``trim`` for the mean without the share k at the ends.  Null where the group has no such number."""
+    counts = value_counts(df, value, by)
+    n, below, peers, v = F.col("__n"), F.col("__below"), F.col("__peers"), F.col(value)
+    columns: list[Column] = []
+    for out, (kind, k) in wanted.items():
+        if kind == "trim":
+            cut = F.floor(F.floor(n * k) / 2)
+            inside = F.greatest(F.lit(0), F.least(below + peers, n - cut) - F.greatest(below, cut))
+            columns.append(F.try_divide(F.sum(v * inside), F.sum(inside)).alias(out))
+            continue
+        at = {"inc": (n - 1) * F.lit(float(k)), "exc": (n + 1) * F.lit(float(k)) - 1, "small": F.lit(float(k - 1)), "large": (n - F.lit(k)).cast("double")}[kind]
+        low = F.floor(at)
+        here = lambda i: (below <= i) & (i < below + peers)
+        lo, hi, part = F.max(F.when(here(low), v)), F.max(F.when(here(low + 1), v)), F.max(at - low)
+        columns.append(F.when(part == 0, lo).otherwise(lo + (hi - lo) * part).alias(out))
+    return counts.groupBy(*by).agg(*columns)
+
+
 def rank(df: DataFrame, value: str, by: list[str], ascending: bool = False) -> DataFrame:
     """RANK.EQ and RANK.AVG within groups; what is ranked is one row a value, and joins back."""
     return df.join(value_ranks(df, value, ascending, tuple(by)), [*by, value], "left")

@@ -195,6 +195,8 @@ class Compiler:
         self.position, self.order = position, order
         self.steps: dict[int, _Step] = {}
         self.made = 0
+        self.groups: list[str] | None = None
+        self.statistics: dict[str, tuple[V, dict[str, tuple[str, float]]]] = {}
 
     def compile(self, source: str) -> V:
         out = self._value(parse(source))
@@ -295,6 +297,8 @@ class Compiler:
 
     def _call(self, name: str, args: list[V | Range], nodes: tuple) -> V:
         depth = max([a.depth for a in args], default=0)
+        if self.groups is not None and name in ORDER_STATISTICS and accepts(AGGREGATES[name], len(args)):
+            return self._statistic(name, [self._plain(a) for a in args])
         if name == "COLUMN":
             return self._column_number(nodes)
         if name in TABLE_CALLS:
@@ -337,6 +341,28 @@ class Compiler:
             all_, first = self.df.columns, (re.findall(r"[^\[\]@:]+", inner) or [table])[-1]
         return lit(float([k.upper() for k in all_].index(first.strip().upper()) + 1))
 
+    def _statistic(self, name: str, args: list[V]) -> V:
+        """A statistic of a group's order: a column that is joined to the group's rows before they are aggregated."""
+        kind, k = ORDER_STATISTICS[name]([a.literal for a in args[1:]])
+        at = self._name()
+        x = number(args[0])
+        self.statistics.setdefault(str(x._jc.toString()), (V(x, NUM), {}))[1][at] = (kind, k)
+        out = F.max(F.col(at))
+        return V(out, NUM, F.when(out.isNull(), F.lit(NUM_ERROR)), aggregate=True, strict=True)
+
+    def _join_statistics(self, df: DataFrame) -> DataFrame:
+        base = df
+        for i, (x, wanted) in enumerate(self.statistics.values()):
+            keys = [f"__g{i}_{j}" for j in range(len(self.groups))]
+            values = base.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(self.groups, keys, strict=True)], x.col.alias("__v"))
+            found = op.order_statistics(values, "__v", keys, wanted)
+            if keys:
+                same = [F.col(f"`{b}`").eqNullSafe(F.col(k)) for b, k in zip(self.groups, keys, strict=True)]
+                df = df.join(found, same, "left").drop(*keys)
+            else:
+                df = df.crossJoin(F.broadcast(found))  # one row
+        return df
+
     def prepare(self, df: DataFrame) -> DataFrame:
         """The table with all columns that the formulas compiled so far need, depth by depth."""
         for depth in sorted(self.steps):
@@ -542,12 +568,26 @@ def _uses(source: str, made: dict) -> bool:
     return any(kind == "name" and re.split(r"[\[\]@]", s)[-2 if "[" in s else 0].strip().upper() in names for kind, s in tokenize(source))
 
 
-def summarize(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, names: dict[str, object] | None = None, order: str | None = None) -> DataFrame:
-    """Aggregate formulas over all rows or over each group, all in one pass; ``order`` is the column that says which
-    row's cash flow comes first."""
+#: Aggregates that look at a group's numbers in order: (kind, k) of their further arguments.
+ORDER_STATISTICS: dict[str, Callable] = {
+    "MEDIAN": lambda a: ("inc", 0.5), **dict.fromkeys(("PERCENTILE", "PERCENTILE.INC"), lambda a: ("inc", a[0])), **dict.fromkeys(("QUARTILE", "QUARTILE.INC"), lambda a: ("inc", a[0] / 4)), "PERCENTILE.EXC": lambda a: ("exc", a[0]),
+    "QUARTILE.EXC": lambda a: ("exc", a[0] / 4), "SMALL": lambda a: ("small", int(a[0])), "LARGE": lambda a: ("large", int(a[0])), "TRIMMEAN": lambda a: ("trim", a[0]),
+}
+
+
+def summarize(df: DataFrame, formulas: dict[str, str], by: list[str] | None = None, names: dict[str, object] | None = None, order: str | None = None, large_groups: bool | None = None) -> DataFrame:
+    """Aggregate formulas over all rows or over each group; ``order`` is the column that says which row's cash flow
+    comes first.
+
+    One pass serves small groups, whose numbers fit a task.  With ``large_groups``, which holds by default where there
+    is but one group, statistics of the order (medians, percentiles, k-th numbers, trimmed means) come from counts of
+    the different values instead, so that no task holds a group's numbers.
+    """
     c = Compiler(df, names, order=order)
+    if not by if large_groups is None else large_groups:
+        c.groups = list(by or [])
     columns: list[Column] = [c.compile(f).value().alias(k) for k, f in formulas.items()]
-    return c.prepare(df).groupBy(*(by or [])).agg(*columns)
+    return c._join_statistics(c.prepare(df)).groupBy(*(by or [])).agg(*columns)
 
 
 def supported() -> list[str]:

@@ -55,11 +55,11 @@ def rows_query(name: str, table: str, keys: list[str], columns: dict[str, tuple[
     SQL[name] = f"SELECT {', '.join(keys)}, {', '.join(_sql_column(k, v) for k, v in columns.items())} FROM {table} WHERE {where}"
 
 
-def groups_query(name: str, table: str, by: list[str], columns: dict[str, tuple[str, ...]]) -> None:
-    """Aggregate formulas of each group, in one pass."""
+def groups_query(name: str, table: str, by: list[str], columns: dict[str, tuple[str, ...]], large_groups: bool = False) -> None:
+    """Aggregate formulas of each group."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(formula.summarize(read(spark, sf_dir, table), {k: v[0] for k, v in columns.items()}, by), list(columns))
+        return rounded(formula.summarize(read(spark, sf_dir, table), {k: v[0] for k, v in columns.items()}, by, large_groups=large_groups), list(columns))
 
     QUERIES[name] = run
     group = f" GROUP BY {', '.join(by)}" if by else ""
@@ -103,13 +103,13 @@ groups_query("agg_statistics", "lineitem", ["l_returnflag"], {
     "f_pearson": ("=PEARSON(l_quantity, l_tax)", "corr(l_quantity, l_tax)"), "f_rsq": ("=RSQ(l_extendedprice, l_quantity)", "pow(corr(l_quantity, l_extendedprice), 2)"), "f_covar": ("=COVAR(l_quantity, l_tax)", "covar_pop(l_quantity, l_tax)"), "f_covar_s": ("=COVARIANCE.S(l_quantity, l_tax)", "covar_samp(l_quantity, l_tax)"), "f_slope": ("=SLOPE(l_extendedprice, l_quantity)", "regr_slope(l_extendedprice, l_quantity)"),
     "f_intercept": ("=INTERCEPT(l_quantity, l_tax)", "regr_intercept(l_quantity, l_tax)"), "f_steyx": ("=STEYX(l_quantity, l_tax)", "sqrt((regr_syy(l_quantity, l_tax) - pow(regr_sxy(l_quantity, l_tax), 2) / regr_sxx(l_quantity, l_tax)) / (count(*) - 2))"), "f_sumx2my2": ("=SUMX2MY2(l_quantity, l_tax)", "sum(l_quantity * l_quantity - l_tax * l_tax)"),
     "f_sumx2py2": ("=SUMX2PY2(l_quantity, l_tax)", "sum(l_quantity * l_quantity + l_tax * l_tax)"), "f_sumxmy2": ("=SUMXMY2(l_quantity, l_tax)", "sum(pow(l_quantity - l_tax, 2))"), "f_prob": ("=PROB(l_quantity, l_tax, 10, 20)", "sum(CASE WHEN l_quantity BETWEEN 10 AND 20 THEN l_tax END)"),
-})
+}, large_groups=True)
 groups_query("agg_percentiles", "orders", ["o_orderpriority"], {
     "f_percentile": ("=PERCENTILE(o_totalprice, 0.3)", "quantile_cont(o_totalprice, 0.3)"), "f_percentile_inc": ("=PERCENTILE.INC(o_totalprice, 0.95)", "quantile_cont(o_totalprice, 0.95)"), "f_quartile": ("=QUARTILE(o_totalprice, 1)", "quantile_cont(o_totalprice, 0.25)"), "f_quartile_inc": ("=QUARTILE.INC(o_totalprice, 3)", "quantile_cont(o_totalprice, 0.75)"),
     "f_percentile_exc": ("=PERCENTILE.EXC(o_totalprice, 0.4)", "list_sort(list(o_totalprice))[floor(0.4 * (count(*) + 1))::INT] + (0.4 * (count(*) + 1) - floor(0.4 * (count(*) + 1))) * (list_sort(list(o_totalprice))[floor(0.4 * (count(*) + 1))::INT + 1] - list_sort(list(o_totalprice))[floor(0.4 * (count(*) + 1))::INT])"),
     "f_quartile_exc": ("=QUARTILE.EXC(o_totalprice, 3)", "list_sort(list(o_totalprice))[floor(0.75 * (count(*) + 1))::INT] + (0.75 * (count(*) + 1) - floor(0.75 * (count(*) + 1))) * (list_sort(list(o_totalprice))[floor(0.75 * (count(*) + 1))::INT + 1] - list_sort(list(o_totalprice))[floor(0.75 * (count(*) + 1))::INT])"),
     "f_mode": ("=MODE.SNGL(o_custkey)", "(list_sort(list_transform(map_entries(histogram(o_custkey)), lambda e: {'n': -e.value::BIGINT, 'v': e.key}))[1]).v"),
-})
+}, large_groups=True)
 groups_query("agg_errors", "lineitem", ["l_linestatus"], {
     "f_iferror": ('=IFERROR(AVERAGEIF(l_quantity, ">999"), -1)', "-1"), "f_iserror": ('=ISERROR(AVERAGEIFS(l_tax, l_quantity, ">999"))', "true", "bool"), "f_ratio": ("=ROUND(SUM(l_tax) / COUNT(l_tax), 4)", _HALF.format(x="(sum(l_tax) / count(l_tax))", d=4)), "f_if": ('=IF(COUNT(l_tax) > 10, "many", "few")', "CASE WHEN count(l_tax) > 10 THEN 'many' ELSE 'few' END", "text"), "f_geomean": ("=IFERROR(GEOMEAN(l_discount), 0)", "0"),
 })

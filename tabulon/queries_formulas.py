@@ -232,3 +232,16 @@ rows_query("text_and_bonds", "part", ["p_partkey"], {
     "f_dollarde": ("=DOLLARDE(p_size + 0.02, 16)", "p_size + 0.125"), "f_dollarfr": ("=DOLLARFR(p_size + 0.125, 16)", "p_size + 0.02"), "f_db": ("=DB(1000 * p_size, 100 * p_size, 6, 1)", "319 * p_size"), "f_rate": ("=RATE(1, 0, -100, 100 + p_size)", "p_size / 100.0::DOUBLE"), "f_duration": ('=DURATION("2020-01-01", "2021-12-21", p_size / 100, 0.08, 1)', "(p_size / 1.08 + 2 * (100 + p_size) / pow(1.08, 2)) / (p_size / 1.08 + (100 + p_size) / pow(1.08, 2))"),
     "f_time": ("=TIME(MOD(p_size, 24), 30, 0)", "(p_size % 24 * 3600 + 1800) / 86400.0::DOUBLE"), "f_arraytotext": ("=TYPE(p_size) + N(TRUE)", "2"), "f_arity": ('=IFERROR(TDIST(p_size, 60, 2), "arity")', "'arity'", "text"), "f_arity2": ('=IFERROR(ROUND(p_size), "arity")', "'arity'", "text"),
 })
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_acctbal DESC, c_custkey) AS place FROM customer")
+def sort_custom_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's place in the order of a custom list, those not in it last."""
+    from tabulon.operators import tables as op
+
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    listed = ["MACHINERY", "BUILDING"]
+    keys = [op.sort_key(c, "c_mktsegment", custom=listed), op.sort_key(c, "c_acctbal", descending=True), op.sort_key(c, "c_custkey")]
+    segment = F.when(F.col("c_mktsegment") == listed[0], 1).when(F.col("c_mktsegment") == listed[1], 2).otherwise(3)
+    # a range for each segment and, falling, each thousand of the balance
+    return op.numbered(c, keys, F.struct(segment, -F.floor(F.col("c_acctbal") / 1000)), "place").select("c_custkey", "place")

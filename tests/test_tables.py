@@ -53,3 +53,20 @@ def test_reachable_runs_to_the_end_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 0), (200, 201)], "src int, dst int")
     seen = {r["node"]: r["steps"] for r in op.reachable(edges, spark.createDataFrame([(0,)], "node int")).collect()}
     assert seen == {i: i for i in range(71)}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_order_statistics_of_large_groups(spark, by):
+    from tabulon.plans import formula as fx
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["x", "y", None, "z"]), rng.choice([None, *map(float, range(9)), 0.25]), "t") for _ in range(300)] + [("one", 4.0, "t"), ("none", None, "t")]
+    df = spark.createDataFrame(rows, "g string, v double, t string")
+    f = {"m": "=MEDIAN(v)", "p": "=PERCENTILE(v,0.3)", "q": "=QUARTILE.INC(v,3)", "e": "=PERCENTILE.EXC(v,0.4)", "qe": "=QUARTILE.EXC(v,1)", "s": "=SMALL(v,2)", "l": "=LARGE(v,3)", "t": "=TRIMMEAN(v,0.3)", "x": "=IFERROR(ROUND(MEDIAN(v+1)*2,3)+SUM(v),-1)", "n": "=COUNT(v)", "bad": "=IFERROR(SMALL(v,999),-7)"}
+    key = lambda r: str([r[b] for b in by])
+    small = {key(r): r for r in fx.summarize(df, f, by, large_groups=False).collect()}
+    large = {key(r): r for r in fx.summarize(df, f, by, large_groups=True).collect()}
+    assert set(small) == set(large)
+    for k, r in small.items():
+        for c in f:
+            assert large[k][c] == (pytest.approx(r[c]) if r[c] is not None else None), (k, c)
