@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from datetime import date, datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabulon.functions import special
 from tabulon.functions.scalar import SCALARS, dated, day, folded, numeric
-from tabulon.functions.values import NA, NUM, TEXT, V, first_error, number, number_arg
+from tabulon.functions.values import NA, NUM, TEXT, V, first_error, number, number_arg, text
 
 #: Units by kind, as multiples of the first of each kind.
 UNITS = {
@@ -28,7 +29,10 @@ TEMPERATURES = {"K": (1.0, 0.0), "C": (1.0, 273.15), "F": (5 / 9, 459.67)}
 
 
 def convert(x: V, source: V, target: V) -> V:
+    """Between units of one kind; units that are columns are looked up row by row in the fixed table."""
     n, a, b = number_arg(x), source.literal, target.literal
+    if a is None or b is None:
+        return _convert_columns(n, text(source), text(target), first_error(source.err, target.err))
     if a in TEMPERATURES and b in TEMPERATURES:
         (f, p), (g, q) = TEMPERATURES[a], TEMPERATURES[b]
         return V((n.col + p) * f / g - q, NUM, n.err)
@@ -38,6 +42,14 @@ def convert(x: V, source: V, target: V) -> V:
     return V(n.col * kind[a] / kind[b], NUM, n.err)
 
 
+def _convert_columns(n: V, source: Column, target: Column, err: Column | None) -> V:
+    every = {u: (k, f, 0.0) for k, units in UNITS.items() for u, f in units.items()} | {u: ("temperature", f, p) for u, (f, p) in TEMPERATURES.items()}
+    table = F.create_map(*[c for u, (k, f, p) in every.items() for c in (F.lit(u), F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), F.lit(p).alias("p")))])
+    a, b = F.try_element_at(table, source), F.try_element_at(table, target)
+    out = F.when(a["k"] == b["k"], (n.col + a["p"]) * a["f"] / b["f"] - b["p"])
+    return V(out, NUM, first_error(n.err, err, F.when(out.isNull(), F.lit(NA))), strict=True)
+
+
 def _periods(days: float, frequency: float, year: float) -> int:
     return max(1, math.floor(days / year * frequency + 0.5))
 

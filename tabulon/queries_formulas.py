@@ -120,6 +120,11 @@ def sort_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.numbered(p, [op.sort_key(p, "p_name"), op.sort_key(p, "p_partkey")], F.lower(F.substring("p_name", 1, 1)), "place").select("p_partkey", "place")
 
 
+rows_query("units", "part", ["p_partkey"], {
+    "f_column": ('=IFERROR(CONVERT(p_size, CHOOSE(MOD(p_size, 3) + 1, "km", "mi", "F"), "m"), -1)', "CASE p_size % 3 WHEN 0 THEN p_size * 1000.0 WHEN 1 THEN p_size * 1609.344 ELSE -1 END"), "f_warm": ('=CONVERT(p_size, "C", IF(p_size > 25, "F", "K"))', "CASE WHEN p_size > 25 THEN p_size * 1.8 + 32 ELSE p_size + 273.15 END"),
+    "f_weight": ('=CONVERT(p_size, "lbm", "kg")', "p_size * 0.45359237"), "f_time": ('=CONVERT(p_size, "yr", "day")', "p_size * 365.25"), "f_none": ('=IFNA(CONVERT(p_size, "kg", "sec"), 0)', "0"),
+})
+
 # Distributions against series that DuckDB adds up
 
 _SUM = "list_sum(list_transform(range(0, {n}), lambda k: {t}))"

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+from tabulon.sources import binary
 from tabulon.sources.text_tables import infer
 
 _OLE2, _ZIP, _RTF = bytes.fromhex("D0CF11E0A1B11AE1"), b"PK\x03\x04", b"{\\rtf"
@@ -19,14 +20,12 @@ _OLE2, _ZIP, _RTF = bytes.fromhex("D0CF11E0A1B11AE1"), b"PK\x03\x04", b"{\\rtf"
 _MEMBERS = [("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"), ("xl/workbook.bin", "xlsb"), ("ppt/presentation.xml", "pptx"), ("Index/Document.iwa", "iwork")]
 #: Formats by the mimetype member of OpenDocument containers.
 _MIMETYPES = {"application/vnd.oasis.opendocument.text": "odt", "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/vnd.oasis.opendocument.presentation": "odp"}
-#: Formats by a stream name (UTF-16) inside OLE2 containers.
-_STREAMS = [("WordDocument", "doc"), ("Workbook", "xls"), ("Book", "xls"), ("PowerPoint Document", "ppt")]
 
 
 def detect(content: bytes) -> str | None:
     """OLE2 first, then zip containers, then RTF; None where nothing fits."""
     if content.startswith(_OLE2):
-        return next((f for name, f in _STREAMS if name.encode("utf-16-le") in content), "ole2")
+        return binary.kind_of(content)
     if content.startswith(_ZIP):
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.sources import office, text_tables
+from tabulon.sources import binary, office, text_tables
 
 _CELLS = "path string, sheet string, row int, col int, tag string, value string, formula string"
 _RUN = "array<struct<text:string,bold:boolean,italic:boolean,strike:boolean,vertical_position:string>>"
@@ -29,7 +29,7 @@ def parsed(content: DataFrame, parse: Callable[[bytes], Iterator[dict]], schema:
                 rows: list[dict] = []
                 try:
                     rows = [{"path": path, **r} for r in parse(data or b"")]
-                except (ValueError, KeyError, IndexError, SyntaxError, StopIteration, office.zipfile.BadZipFile, NotImplementedError):
+                except (ValueError, KeyError, IndexError, SyntaxError, StopIteration, RuntimeError, office.zipfile.BadZipFile, NotImplementedError):
                     rows = [{"path": path}]
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=_arrow(schema))
@@ -92,6 +92,23 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return parsed(files(spark, path), office.xlsx_cells, _CELLS)
 
 
+def read_xls(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(files(spark, path), binary.xls_cells, _CELLS)
+
+
+def read_xlsb(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(files(spark, path), binary.xlsb_cells, _CELLS)
+
+
+def read_doc(spark: SparkSession, path: str) -> DataFrame:
+    return parsed(files(spark, path), lambda b: iter([{"text": binary.doc_text(b)}]), "path string, text string")
+
+
+def read_ppt(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): a row for each text of a presentation, in order."""
+    return parsed(files(spark, path), lambda b: ({"text": t} for t in binary.ppt_texts(b)), "path string, text string")
+
+
 def read_ods(spark: SparkSession, path: str) -> DataFrame:
     return parsed(files(spark, path), office.ods_cells, _CELLS)
 
@@ -129,7 +146,8 @@ def read_extras(spark: SparkSession, path: str) -> DataFrame:
 PARSERS: dict[str, tuple[Callable[[bytes], Iterator[dict]], str]] = {
     "csv": (_grid(lambda s: text_tables.parse_delimited(s, ",")), _CELLS), "tsv": (_grid(lambda s: text_tables.parse_delimited(s, "\t")), _CELLS), "dif": (_grid(text_tables.parse_dif), _CELLS), "sylk": (_grid(text_tables.parse_sylk), _CELLS),
     "fixed": (_grid(text_tables.parse_fixed), _CELLS), "xlsx": (office.xlsx_cells, _CELLS), "ods": (office.ods_cells, _CELLS), "docx": (office.docx_elements, f"path string, elem int, kind string, style string, text string, runs {_RUN}, cells {_TABLE}"),
-    "pptx": (office.pptx_slides, "path string, slide_no int, name string, text string, shape_count int"), "rtf": (lambda b: iter([{"text": office.rtf_text(b)}]), "path string, text string"), "properties": (office.properties, "path string, name string, value string"), "extras": (office.extras, _EXTRAS),
+    "pptx": (office.pptx_slides, "path string, slide_no int, name string, text string, shape_count int"), "rtf": (lambda b: iter([{"text": office.rtf_text(b)}]), "path string, text string"), "compressed rtf": (lambda b: iter([{"text": office.rtf_text(binary.decompress_rtf(b))}]), "path string, text string"),
+    "xls": (binary.xls_cells, _CELLS), "xlsb": (binary.xlsb_cells, _CELLS), "doc": (lambda b: iter([{"text": binary.doc_text(b)}]), "path string, text string"), "ppt": (lambda b: ({"text": t} for t in binary.ppt_texts(b)), "path string, text string"), "properties": (office.properties, "path string, name string, value string"), "extras": (office.extras, _EXTRAS),
 }
 
 
@@ -138,11 +156,14 @@ def read_content(content: DataFrame, kind: str) -> DataFrame:
     return parsed(content, *PARSERS[kind])
 
 
+_CELL_PARSERS = {"xlsx": office.xlsx_cells, "ods": office.ods_cells, "xls": binary.xls_cells, "xlsb": binary.xlsb_cells}
+
+
 def _any_text(data: bytes) -> Iterator[dict]:
     kind = office.detect(data)
-    if kind in ("xlsx", "ods"):
+    if kind in _CELL_PARSERS:
         rows: dict[tuple, list[str]] = {}
-        for c in (office.xlsx_cells if kind == "xlsx" else office.ods_cells)(data):
+        for c in _CELL_PARSERS[kind](data):
             rows.setdefault((c["sheet"], c["row"]), []).append(c["value"] or "")
         text = "\n".join("\t".join(r) for r in rows.values())
     elif kind == "docx":
@@ -153,6 +174,10 @@ def _any_text(data: bytes) -> Iterator[dict]:
         text = "\n".join(p["text"] for p in office.odf_paragraphs(data))
     elif kind == "rtf":
         text = office.rtf_text(data)
+    elif kind == "doc":
+        text = binary.doc_text(data)
+    elif kind == "ppt":
+        text = "\n".join(binary.ppt_texts(data))
     else:
         text = data.decode("utf-8", "replace") if kind is None else None
     yield {"format": kind or "text", "text": text}
