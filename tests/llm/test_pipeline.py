@@ -46,12 +46,9 @@ def test_run(spark):
     assert rows and len({r["sequence_id"] for r in rows}) == len(rows)
 
 
-def test_run_leaves_one_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert corpus_pipeline.run(spark, SF).count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_run_leaves_one_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "checkpoint_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, SF).count() > 0
     assert [p.name for p in tmp_path.glob("pipeline-*/*")] == ["mix_sources"]
 
 
