@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,13 +28,17 @@ def scalar(*names: str):
 
 
 def numeric(f: Callable[..., Column], bad: str = NUM_ERROR, strict: bool = False, flags: bool = False) -> Callable[..., V]:
-    """``strict``: f gives null where any argument is null; ``flags``: booleans count as 0 and 1."""
+    """``strict``: f gives null where any argument is null, of any other f only what has all arguments counts;
+    ``flags``: booleans count as 0 and 1."""
 
     @wraps(f)
     def run(*args: V) -> V:
         n = [number_arg(V(a.col.cast("double"), NUM, a.err) if flags and a.kind == BOOL else a) for a in args]
         out = f(*[a.col for a in n])
-        return V(out, NUM, first_error(*[a.err for a in n], F.when(out.isNull(), F.lit(bad))), strict=strict)
+        given = [a.col.isNotNull() for a in n if not isinstance(a.literal, float)]
+        if given and not strict:
+            out = F.when(reduce(lambda a, b: a & b, given), out)
+        return V(out, NUM, first_error(*[a.err for a in n], F.when(out.isNull(), F.lit(bad))), strict=True)
 
     return run
 
