@@ -28,7 +28,7 @@ CLASSES = {"hex": (20, 3.0), "letters": (20, 3.4), "alnum": (20, 3.4), "base64":
 #: Words of a name in mixed case; letters in whose case no words of this mean length show are a key.
 _HUMP, WORD_LENGTH = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]"), 3.7
 #: Candidates that are known to be none: plain words and compounds of them, numbers, UUIDs, dates and paths of words.
-ALLOW = [re.compile(p) for p in (r"[A-Za-z]+([-_/+=][A-Za-z]*)*", r"[0-9+/_=-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[A-Za-z]+[-_/]*[0-9]{1,8}", r"(.)\1*", r"([A-Za-z]+[-_/]|[0-9]{1,4}[-_/])+([A-Za-z]*|[0-9]{1,4})")]
+ALLOW = [re.compile(p) for p in (r"[A-Za-z]+([-_/+=][A-Za-z]*)*", r"[0-9+/_=-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[A-Za-z]+[-_/]*[0-9]{1,8}", r"(.)\1*", r"([A-Za-z]+[-_/]|[0-9]{1,8}[-_/])+([A-Za-z]*|[0-9]{1,8})")]
 _HEX_CHARS, _LETTERS, _ALNUM = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z0-9]+")
 #: What a dotted candidate may have for parts without being a secret: letters, then digits, joined by signs.
 _PLAIN_PART = re.compile(r"([A-Za-z]*[0-9]{0,8}[-_])*[A-Za-z]*[0-9]{0,8}")
