@@ -190,37 +190,41 @@ def npv(rate: float, value: V, key: Column) -> Column:
     return F.aggregate(F.transform(_ordered(value, key), lambda v, i: v / F.pow(F.lit(1 + rate), i + 1)), F.lit(0.0), lambda s, v: s + v)
 
 
+def _serial(dates: V) -> Column:
+    return serial(dates.col) if dates.kind != NUM else dates.col
+
+
+def _dated(value: V, dates: V) -> Column:
+    """Dates and values in order, without rows that lack either."""
+    d, v = _serial(dates), number(value)
+    return F.array_sort(F.collect_list(F.when(d.isNotNull() & v.isNotNull(), F.struct(d.cast("double").alias("d"), v.alias("v")))))
+
+
 def xnpv(rate: float, value: V, dates: V) -> Column:
     """Discounted by days since the first date over 365."""
-    d = serial(dates.col) if dates.kind != NUM else dates.col
-    pairs = F.array_sort(F.collect_list(F.struct(d.alias("d"), number(value).alias("v"))))
+    d, pairs = _serial(dates), _dated(value, dates)
     return _let(F.min(d), lambda first: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["v"] / F.pow(F.lit(1 + rate), (p["d"] - first) / 365.0)))
 
 
-def _solver(f: Callable, guess: float = 0.1):
-    def solve(row) -> float | None:
-        try:
-            return f(*[[float(x) for x in a] for a in row], guess)
-        except ArithmeticError:
-            return None
-
+def irr(value: V, key: Column, guess: float = 0.1) -> Column:
     @F.pandas_udf("double")
-    def run(*arrays):
+    def run(values):
         import pandas as pd
 
-        return pd.Series([solve(row) for row in zip(*arrays, strict=True)], dtype="float64")
+        return pd.Series(special.rates(values, [range(len(v)) for v in values], guess))
 
-    return run
+    return run(_ordered(value, key))
 
 
-def irr(value: V, key: Column, guess: float = 0.1) -> Column:
-    return _solver(special.irr, guess)(_ordered(value, key))
+def xirr(value: V, dates: V, guess: float = 0.1) -> Column:
+    @F.pandas_udf("double")
+    def run(values, days):
+        import pandas as pd
 
+        return pd.Series(special.rates(values, [(d - d[:1]) / 365 for d in days], guess))
 
-def xirr(value: V, dates: V, guess: float = 0.1) -> Column:
-    d = serial(dates.col) if dates.kind != NUM else dates.col
-    pairs = F.array_sort(F.collect_list(F.struct(d.alias("d"), number(value).alias("v"))))
-    return _solver(special.xirr, guess)(F.transform(pairs, lambda p: p["v"]), F.transform(pairs, lambda p: p["d"]))
+    pairs = _dated(value, dates)
+    return run(F.transform(pairs, lambda p: p["v"]), F.transform(pairs, lambda p: p["d"]))
 
 
 def mirr(value: V, key: Column, finance: float, reinvest: float) -> Column:

@@ -115,6 +115,16 @@ def test_cash_flows_and_database_in_formulas(spark):
         fx.summarize(df, {"x": "=NPV(0.1,v)"})
 
 
+def test_rates_that_newton_leaves_or_nulls_beside(spark):
+    near_nothing, none = ([-300.0, 35.0], [0.0, 30.0]), ([-300.0, 3.0, 18.0], [900.0, 930.0, 960.0])
+    assert special.xirr(*near_nothing) == pytest.approx((35 / 300) ** (365 / 30) - 1) and special.irr([5.0, 5.0]) is None
+    assert special.xirr([-300.0, 798.0, 444.0], [0.0, 30.0, 2670.0]) == pytest.approx((798 / 300) ** (365 / 30) - 1, rel=1e-3)
+    rows = [(k, v, d) for k, (values, days) in enumerate([near_nothing, none, ([-100.0, 60.0, 60.0, None, 7.0], [0.0, 365.0, 730.0, 800.0, None])]) for v, d in zip(values, days, strict=True)]
+    df = spark.createDataFrame(rows, "k int, v double, d double")
+    got = {r["k"]: (r["x"], r["n"]) for r in fx.summarize(df, {"x": "=XIRR(v,d)", "n": "=XNPV(0.1,v,d)"}, by=["k"], order="d").collect()}
+    assert got[0][0] == pytest.approx(special.xirr(*near_nothing)) and got[2] == (pytest.approx(0.13066, abs=1e-5), pytest.approx(-100 + 60 / 1.1 + 60 / 1.21))
+
+
 def test_random_numbers(spark):
     rows = fx.calculate(spark.range(200), {"a": "=RAND()", "b": "=RANDBETWEEN(2,4)"}).collect()
     assert all(0 <= r["a"] < 1 for r in rows) and {r["b"] for r in rows} == {2.0, 3.0, 4.0}
