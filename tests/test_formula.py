@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 
 from tabulon.functions import criteria, special
@@ -125,6 +126,18 @@ def test_rates_that_newton_leaves_or_nulls_beside(spark):
     assert got[0][0] == pytest.approx(special.xirr(*near_nothing)) and got[2] == (pytest.approx(0.13066, abs=1e-5), pytest.approx(-100 + 60 / 1.1 + 60 / 1.21))
 
 
+def test_equal_arguments_are_worked_out_once(spark):
+    calls = []
+    run = special.udf(lambda *x: calls.append(x) or math.copysign(1, x[0]) / x[1], "double", 2).func
+    batch = [pd.Series([1.0, -0.0, 0.0, 1.0, float("nan"), -0.0, 1.0]), pd.Series([2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 0.0])]
+    want = [0.5, -0.5, 0.5, 0.5, None, -0.5, None]
+    for _ in range(2):
+        assert [None if v != v else v for v in run(*batch)] == want
+    assert len(calls) == 4 and run(pd.Series([], dtype=float), pd.Series([], dtype=float)).empty
+    words = special.udf(lambda s, k: s * int(k), "string", 2).func
+    assert words(pd.Series(["a", None, "b", "a"]), pd.Series([2, 2, 1, 1])).tolist() == ["aa", None, "b", "a"]
+
+
 def test_random_numbers(spark):
     rows = fx.calculate(spark.range(200), {"a": "=RAND()", "b": "=RANDBETWEEN(2,4)"}).collect()
     assert all(0 <= r["a"] < 1 for r in rows) and {r["b"] for r in rows} == {2.0, 3.0, 4.0}
