@@ -46,11 +46,17 @@ def document_markdown(elements: DataFrame) -> DataFrame:
     runs = F.array_join(F.transform("runs", lambda r: run_markdown(markdown_escape(r["text"]), r["bold"], r["italic"], r["strike"])), "")
     lead = F.when(level != "", F.concat(F.repeat(F.lit("#"), F.least(level.try_cast("int"), F.lit(6))), F.lit(" "))).when(F.lower("style") == "title", "# ").when(F.lower("style").startswith("list"), "- ").otherwise("")
     clean = lambda s: F.replace(F.replace(F.coalesce(s, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    of_row = lambda cells, i: F.concat(F.lit("| "), F.array_join(F.transform(F.filter(cells, lambda c: c["row"] == i), lambda c: clean(c["text"])), " | "), F.lit(" |"))
-    last = F.array_max(F.transform("cells", lambda c: c["row"]))
-    width = F.size(F.filter("cells", lambda c: c["row"] == 0))
-    lines = F.transform(F.sequence(F.lit(0), last), lambda i: of_row(F.col("cells"), i))
-    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+    blank, rule = F.lit("|  |\n"), F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(F.filter("cells", lambda c: c["row"] == 0))))
+
+    def piece(c: Column, i: Column, before: Column) -> Column:
+        """A cell's text and what parts it from the cell before: rows without cells are lines too, the rule follows row 0."""
+        gap = F.when(before == -1, F.when(c["row"] > 0, F.concat(blank, rule, F.lit("\n"), F.repeat(blank, c["row"] - 1))).otherwise("")).otherwise(F.concat(F.when(before == 0, F.concat(rule, F.lit("\n"))).otherwise(""), F.repeat(blank, c["row"] - before - 1)))
+        return F.concat(F.when(c["row"] == before, " | ").otherwise(F.concat(F.when(i > 0, " |\n").otherwise(""), gap, F.lit("| "))), clean(c["text"]))
+
+    # one pass over the cells in order of rows; each looks at the one before it
+    placed = F.array_sort(F.transform("cells", lambda c, i: F.struct(c["row"].alias("row"), i.alias("i"), c["text"].alias("text"))))
+    text = lambda cells: F.concat(F.array_join(F.transform(cells, lambda c, i: piece(c, i, F.coalesce(F.get(cells, i - 1)["row"], F.lit(-1)))), ""), F.lit(" |"), F.when(F.element_at(cells, -1)["row"] == 0, F.concat(F.lit("\n"), rule)).otherwise(""))
+    table = F.transform(F.array(placed), text)[0]
     part = F.when(F.col("kind") == "table", F.when(F.size("cells") > 0, table)).otherwise(F.when(F.coalesce("text", F.lit("")) != "", F.concat(F.coalesce(lead, F.lit("")), runs)))
     gathered = elements.where("elem is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("elem", part.alias("p")))).alias("e"))
     return gathered.select("path", F.array_join(F.filter(F.transform("e", lambda x: x["p"]), lambda p: p.isNotNull()), "\n\n").alias("markdown"))
