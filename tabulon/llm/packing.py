@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import shuffle_width
+from tabulon.llm.common import give_back, shuffle_width
 
 MAX_LENGTH = 4096
 END_ID = 2
@@ -220,6 +220,7 @@ def _pieces(tokenizer, end_id: int, longest: int):
                     binary = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * (ends - ends[0])).astype(np.int32)), held])
                     ids_of = batch.column(0).slice(a, b - a).take(pa.array(doc[part]))
                     yield pa.RecordBatch.from_arrays([ids_of, pa.array(start[part]), pa.array(length[part]), binary, pa.array(n[doc[part]])], schema=_SCHEMA)
+        give_back()
 
     return run
 

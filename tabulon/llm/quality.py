@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm import textkernel as tk
-from tabulon.llm.common import without
+from tabulon.llm.common import give_back, without
 
 #: Bound on the labelled rows that are fitted on; which ones follows from a hash of doc_id.
 TRAIN_ROWS = 2000
@@ -144,15 +144,14 @@ def fit(texts: list[str], good: np.ndarray) -> np.ndarray:
     Every fourth text calibrates (by Platt's method), the others train.  Where either part lacks a class the
     model is constant: the smoothed share of good rows.
     """
-    rows, cols, vals = [], [], []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # text, bucket and weight of the n-grams, never put together: what is worked out of them is of a part's size
     for at, run in tk.grouped(texts):
         t = tk.Texts(run)
         for bucket, owner in features(t):
             key, n = np.unique(owner.astype(np.int64) * (N_FAMILIES * BUCKETS) + bucket, return_counts=True)
             who = key // (N_FAMILIES * BUCKETS)
-            rows.append(who + at)
-            cols.append((key % (N_FAMILIES * BUCKETS)).astype(np.int32))
-            vals.append((n / np.maximum(np.bincount(owner, minlength=t.n), 1)[who]).astype(np.float32))
+            share = n / np.maximum(np.bincount(owner, minlength=t.n), 1)[who]
+            parts.append(((who + at).astype(np.int32), (key % (N_FAMILIES * BUCKETS)).astype(np.int32), share.astype(np.float32)))
     y = np.asarray(good, float)
     held = np.arange(len(y)) % HELD_OUT == HELD_OUT - 1
     size = N_FAMILIES * BUCKETS
@@ -162,36 +161,47 @@ def fit(texts: list[str], good: np.ndarray) -> np.ndarray:
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.999
         flat[size] = np.log(p / (1 - p)) if not len(y) or 0 < y.mean() < 1 else (6.9 if y.mean() else -6.9)
         return flat
-    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals).astype(float)
-    learns = ~held[r]
-    often = np.bincount(c[learns], minlength=size) >= LEAST_TEXTS
+    texts_of = np.zeros(size, np.int64)
+    for r, c, _ in parts:
+        texts_of += np.bincount(c[~held[r]], minlength=size)
+    often = texts_of >= LEAST_TEXTS
     used = np.flatnonzero(often)
     if len(used):
-        mine = learns & often[c]
-        place = np.zeros(size, np.int64)
-        place[used] = np.arange(len(used))
-        n = int((~held).sum())
-        ri, ci, x = (np.cumsum(~held) - 1)[r[mine]], place[c[mine]], v[mine]
-        scale = (np.bincount(ci, x * x, minlength=len(used)) / n) ** -0.25  # rare n-grams are raised, to half of what would even them out
-        x *= scale[ci]
-        scale /= np.sqrt((x * x).sum() / n)
-        w = _regress(ri, ci, x / np.sqrt((x * x).sum() / n), y[~held], len(used))
+        place = np.zeros(size, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        n, among = int((~held).sum()), (np.cumsum(~held) - 1).astype(np.int32)
+        learning = [(among[r[m]], place[c[m]], v[m]) for r, c, v in parts if (m := ~held[r] & often[c]).any()]
+        squares = np.zeros(len(used))
+        for _, c, v in learning:
+            squares += np.bincount(c, v.astype(float) ** 2, minlength=len(used))
+        scale = (squares / n) ** -0.25  # rare n-grams are raised, to half of what would even them out
+        scale /= np.sqrt((squares * scale**2).sum() / n)
+        w = _ridge(learning, scale, y[~held])
         flat[used], flat[size] = w[:-1] * scale, w[-1]
-    z = np.bincount(r, v * flat[c], minlength=len(y)) + flat[size]
+    z = sum(np.bincount(r, v * flat[c], minlength=len(y)) for r, c, v in parts) + flat[size]
     flat[size + 1 :] = _platt(z[held], y[held])
     return flat
 
 
 def _regress(r: np.ndarray, c: np.ndarray, x: np.ndarray, y: np.ndarray, n_columns: int) -> np.ndarray:
-    """Weights and intercept of ridge logistic regression on the sparse rows (r, c, x), either class weighing
-    half; by limited-memory quasi-Newton steps with halving."""
+    return _ridge([(r, c, x)], np.ones(n_columns), y)
+
+
+def _ridge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and intercept of ridge logistic regression on the sparse rows (r, c, x * scale[c]), given in parts,
+    either class weighing half; by limited-memory quasi-Newton steps with halving."""
+    n_columns = len(scale)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(r, x * w[c], minlength=len(y)) + w[-1]
+        scaled, z, g = w[:-1] * scale, np.full(len(y), w[-1]), np.zeros(n_columns)
+        for r, c, x in parts:
+            z += np.bincount(r, x * scaled[c], minlength=len(y))
         d = weight * (_sigmoid(z) - y)
+        for r, c, x in parts:
+            g += np.bincount(c, x * d[r], minlength=n_columns)
         value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + L2 / 2 * (w[:-1] @ w[:-1]))
-        return value, np.append(np.bincount(c, x * d[r], minlength=n_columns) + L2 * w[:-1], d.sum())
+        return value, np.append(g * scale + L2 * w[:-1], d.sum())
 
     w = np.zeros(n_columns + 1)
     value, g = loss(w)
@@ -254,6 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         model = fit([t for t, _ in got], np.array([q for _, q in got]))
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f8").tobytes()], pa.binary())], names=["model"])
 
     fitted = rows.repartition(1).sortWithinPartitions("h", "doc_id").select("text", "quality").mapInArrow(run, "model binary")
@@ -290,6 +301,7 @@ def score(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> D
                 parts["p_quality"].append(probabilities(t, weights, words))
             made = [pa.array(np.concatenate(parts[k]) if parts[k] else [], pa.float64() if k == "p_quality" else pa.int64()) for k in parts]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        give_back()
 
     schema = T.StructType([*fields, *[T.StructField(k, T.LongType()) for k in COUNTS], T.StructField("p_quality", T.DoubleType())])
     out = docs.mapInArrow(run, schema)

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -137,6 +138,17 @@ def test_the_fit_is_at_its_minimum():
     assert np.abs(slope(w)).max() < 1e-3 < np.abs(slope(np.zeros(13))).max()
 
 
+def test_the_fit_holds_its_rows_once():
+    rng = np.random.default_rng(9)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 600)) for _ in range(200)]
+    tracemalloc.start()
+    quality.fit(texts, np.arange(200) % 3 % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * sum(map(len, texts))
+
+
 def test_training_rows_are_bounded(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
